@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from marlstone.llm import tokens
+from marlstone.llm import lines, tokens
 
 QUERIES = {
+    "op1_line_frequency": lines.op1_line_frequency,
     "op5_byte_bpe": tokens.op5_byte_bpe,
     "op10_token_counts": tokens.op10_token_counts,
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op1_line_frequency": lines.OP1_SQL}
