@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from marlstone.llm import lines, minhash, tokens
+from marlstone.llm import lines, minhash, recompress, tokens
 
 QUERIES = {
     "op1_line_frequency": lines.op1_line_frequency,
+    "op3_recompression": recompress.op3_recompression,
     "op5_byte_bpe": tokens.op5_byte_bpe,
     "op7_minhash": minhash.op7_minhash,
     "op10_token_counts": tokens.op10_token_counts,
 }
-SQL: dict[str, str] = {"op1_line_frequency": lines.OP1_SQL, "op7_minhash": minhash.OP7_SQL}
+SQL: dict[str, str] = {"op1_line_frequency": lines.OP1_SQL, "op3_recompression": recompress.OP3_SQL, "op7_minhash": minhash.OP7_SQL}
