@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from marlstone.llm import lines, minhash, recompress, tokens
+from marlstone.llm import fm, lines, minhash, recompress, tokens
 
 QUERIES = {
     "op1_line_frequency": lines.op1_line_frequency,
+    "op2_factorisation": fm.op2_factorisation,
     "op3_recompression": recompress.op3_recompression,
     "op5_byte_bpe": tokens.op5_byte_bpe,
     "op7_minhash": minhash.op7_minhash,
