@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from marlstone.llm import fm, lines, minhash, quotes, recompress, spaced, tokens
+from marlstone.llm import fm, lines, minhash, quotes, recompress, spaced, tokens, warc
 
 QUERIES = {
     "op1_line_frequency": lines.op1_line_frequency,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_recompression": recompress.op3_recompression,
     "op4_spaced_seeds": spaced.op4_spaced_seeds,
     "op5_byte_bpe": tokens.op5_byte_bpe,
+    "op6_warc": warc.op6_warc,
     "op7_minhash": minhash.op7_minhash,
     "op9_quotation_linking": quotes.op9_quotation_linking,
     "op10_token_counts": tokens.op10_token_counts,
@@ -18,6 +19,7 @@ SQL: dict[str, str] = {
     "op1_line_frequency": lines.OP1_SQL,
     "op3_recompression": recompress.OP3_SQL,
     "op4_spaced_seeds": spaced.OP4_SQL,
+    "op6_warc": warc.OP6_SQL,
     "op7_minhash": minhash.OP7_SQL,
     "op9_quotation_linking": quotes.OP9_SQL,
 }
