@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from marlstone.llm import fm, lines, minhash, quotes, recompress, spaced, tokens, warc
+from marlstone.llm import fm, lines, minhash, quotes, recompress, spaced, tokens, warc, wrapper
 
 QUERIES = {
     "op1_line_frequency": lines.op1_line_frequency,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_byte_bpe": tokens.op5_byte_bpe,
     "op6_warc": warc.op6_warc,
     "op7_minhash": minhash.op7_minhash,
+    "op8_wrappers": wrapper.op8_wrappers,
     "op9_quotation_linking": quotes.op9_quotation_linking,
     "op10_token_counts": tokens.op10_token_counts,
 }
