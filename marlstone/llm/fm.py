@@ -179,6 +179,21 @@ def score(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: s
     return docs.select(id_col, text_col, *metadata).mapInArrow(run, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, score double, predicted int")
 
 
+def accepted(docs: DataFrame, machine: Machine, text_col: str = "text", metadata: tuple[str, ...] = (), least: float = 0.5) -> DataFrame:
+    """The rows, with all their columns, whose score is ``least`` or more."""
+    spark = B.tune(docs.sparkSession)
+    share = spark.sparkContext.broadcast(machine)  # of fixed size
+    names = docs.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            text, *meta = (batch.column(names.index(c)).to_pylist() for c in (text_col, *metadata))
+            s = share.value.score([features(t, list(m)) for t, *m in zip(text, *meta, strict=True)])
+            yield batch.filter(pa.array(s >= least))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op2_factorisation(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = B.table(spark, sf_dir, "documents")
     out = score(docs, train(docs, B.table(spark, sf_dir, "labels"), metadata=("n_chars",)), metadata=("n_chars",))

@@ -147,13 +147,13 @@ def _bits(flags: np.ndarray) -> bytes:
 
 
 def _documents(ids: list, texts: list) -> tuple:
-    return ids, [None if t is None else t.encode("utf-8", "surrogatepass") for t in texts]
+    return [i["id"] for i in ids], [None if t is None else t.encode("utf-8", "surrogatepass") for t in texts], [i["rest"] for i in ids]
 
 
 def _ask_keys(n: int, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in B.flat(batches):
-            ids, texts = B.unpack(row["payload"])
+            ids, texts, _ = B.unpack(row["payload"])
             p = Parsed(texts, width)
             order = np.argsort(p.occ_key, kind="stable")
             k, d = p.occ_key[order], p.occ_doc[order]
@@ -202,7 +202,7 @@ def _least(digest: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 def _ask_windows(n: int, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in B.flat(batches):
-            ids, texts = B.unpack(row["payload"])
+            ids, texts, _ = B.unpack(row["payload"])
             _, digest, docs = _candidates(Parsed(texts, width), ids, n, row["got"])
             d, least = _least(digest, docs)
             yield _ask(row["chunk"], d, n, lambda own: B.pack(least[own], 1))  # noqa: B023
@@ -216,14 +216,14 @@ def _smaller(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> I
     yield from _tell([(chunk, key[0].as_py(), least[np.searchsorted(d, own)] < ids) for chunk, own, ids in rows])
 
 
-def _apply(n: int, width: int, names: list[str], arrow: pa.DataType):
+def _apply(n: int, width: int, names: list[str]):
     def rows(held: list) -> pa.RecordBatch:
-        kinds = (arrow, pa.int64(), pa.int64(), pa.string())
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string())
         return pa.RecordBatch.from_arrays([pa.array([r[i] for r in held], k) for i, k in enumerate(kinds)], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in B.flat(batches):
-            ids, texts = B.unpack(row["payload"])
+            ids, texts, rest = B.unpack(row["payload"])
             p = Parsed(texts, width)
             pick, digest, docs = _candidates(p, ids, n, row["got"])
             d, least = _least(digest, docs)
@@ -235,10 +235,12 @@ def _apply(n: int, width: int, names: list[str], arrow: pa.DataType):
             np.add.at(cover, hit + width, -1)
             gone = np.cumsum(cover)[:-1] > 0
             held = []
-            for doc_id, text, s, k in zip(ids, texts, p.starts.tolist(), p.n_words.tolist(), strict=True):
+            for doc_id, text, other, s, k in zip(ids, texts, rest, p.starts.tolist(), p.n_words.tolist(), strict=True):
                 w, g = (text or b"").split(), gone[s : s + k]
                 kept = w if not g.any() else [x for x, out in zip(w, g.tolist(), strict=True) if not out]
-                held.append((doc_id, k, k - len(kept), b" ".join(kept).decode("utf-8", "surrogatepass")))
+                joined = b" ".join(kept).decode("utf-8", "surrogatepass")
+                clean = joined if len(kept) < k or text is None else text.decode("utf-8", "surrogatepass")
+                held.append((doc_id, k, k - len(kept), joined, clean, other))
                 if len(held) == B.ARROW_ROWS:
                     yield rows(held)
                     held = []
@@ -248,11 +250,17 @@ def _apply(n: int, width: int, names: list[str], arrow: pa.DataType):
     return run
 
 
-def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:
-    """Rows (id, n_words long, n_removed long, kept_text string: the kept words joined by one space)."""
+def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Rows (id, n_words long, n_removed long, kept_text, clean_text, *keep), one for each input row.
+
+    ``kept_text`` has the kept words joined by one space; ``clean_text`` is the text as it was where
+    nothing was removed, else the same.
+    """
     spark = B.tune(df.sparkSession)
     n = B.buckets(spark)
-    docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    others = df.select(*(F.col(c).alias(f"keep{i}") for i, c in enumerate(keep))).schema
+    rest = F.to_json(F.struct(*(F.col(c).alias(f"keep{i}") for i, c in enumerate(keep)))) if keep else F.lit(None).cast("string")
+    docs = df.select(F.struct(F.col(id_col).cast("long").alias("id"), rest.alias("rest")).alias("id"), F.col(text_col).alias("text"))
     chunks = docs.mapInArrow(B.chunked(_documents), "chunk string, payload binary").repartition(F.col("chunk"))
 
     def told(asked: DataFrame, answer, name: str) -> DataFrame:
@@ -263,8 +271,10 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     with_got = chunks.join(got.hint("shuffle_hash"), F.col("chunk") == F.col("to"), "left").select("chunk", "payload", "got")
     smaller = told(with_got.mapInArrow(_ask_windows(n, width), ASKED), _smaller, "told")
     both = with_got.join(smaller.hint("shuffle_hash"), F.col("chunk") == F.col("to"), "left").select("payload", "got", "told")
-    names = [id_col, "n_words", "n_removed", "kept_text"]
-    return both.mapInArrow(_apply(n, width, names, pa.int64()), f"`{id_col}` long, n_words long, n_removed long, kept_text string")
+    names = ["id", "n_words", "n_removed", "kept_text", "clean_text", "rest"]
+    out = both.mapInArrow(_apply(n, width, names), "id long, n_words long, n_removed long, kept_text string, clean_text string, rest string")
+    back = [F.from_json("rest", others).getField(f"keep{i}").alias(c) for i, c in enumerate(keep)]
+    return out.select(F.col("id").alias(id_col), "n_words", "n_removed", "kept_text", "clean_text", *back)
 
 
 def op3_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
