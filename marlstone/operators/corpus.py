@@ -123,42 +123,34 @@ def word_count(text: str) -> int:
 
 
 def pack_paragraphs(stream: list[tuple[list[str], str]], least: int, most: int, overlap: int, count: Callable[[str], int] = word_count) -> list[tuple[list[str], str, int]]:
-    """(headings, text, tokens) of greedy chunks.
+    """(headings, text, tokens) of greedy chunks; tokens are words, as ``count`` has them.
 
     A paragraph over ``most`` is cut into slices of ``most`` words.  A chunk is closed where the headings
     change and it has ``least``, or where the next paragraph would take it over ``most``; the next one
-    starts with the closed one's tail of up to ``overlap`` tokens if both fit.
+    starts with the closed one's last ``overlap`` words if they fit beside that paragraph.
     """
     units = []
     for heads, text in stream:
         words = text.split()
         pieces = [text] if count(text) <= most else [" ".join(words[i : i + most]) for i in range(0, len(words), most)]
         units += [(heads, p, count(p)) for p in pieces]
-    out, held, size = [], [], 0  # held: (headings, text, tokens, is a tail)
-
-    def close() -> list[tuple]:
-        text = "\n\n".join(x[1] for x in held)
-        heads = next((x[0] for x in held if not x[3]), held[0][0])
-        out.append((heads, text, count(text)))
-        tail, n = [], 0
-        for x in reversed(held):
-            if n + x[2] > overlap:
-                break
-            tail.insert(0, (x[0], x[1], x[2], True))
-            n += x[2]
-        return tail
-
+    out: list[tuple[list[str], str, int]] = []
+    texts: list[str] = []
+    heads_now, size = None, 0
     for heads, text, n in units:
-        own = next((x[0] for x in held if not x[3]), None)
-        if own is not None and (own != heads and size >= least or size + n > most):
-            held = close()
-            size = sum(x[2] for x in held)
-            if size + n > most:
-                held, size = [], 0
-        held.append((heads, text, n, False))
+        turned = heads_now is not None and heads != heads_now and size >= least
+        if texts and (turned or size + n > most):
+            whole = "\n\n".join(texts)
+            out.append((heads_now or [], whole, count(whole)))
+            tail = whole.split()[-overlap:] if overlap else []
+            fits = bool(tail) and len(tail) + n <= most
+            texts, size, heads_now = ([" ".join(tail)], len(tail), None) if fits else ([], 0, None)
+        heads_now = heads if heads_now is None else heads_now
+        texts.append(text)
         size += n
-    if any(not x[3] for x in held):
-        close()
+    if texts:
+        whole = "\n\n".join(texts)
+        out.append((heads_now or [], whole, count(whole)))
     return out
 
 
