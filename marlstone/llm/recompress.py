@@ -117,7 +117,9 @@ class Parsed:
 def _by_bucket(sorted_keys: np.ndarray, n: int) -> Iterator[tuple[int, np.ndarray]]:
     at = (sorted_keys >> np.uint64(17)) % np.uint64(n)
     order = np.argsort(at, kind="stable")
-    cut = np.flatnonzero(np.r_[True, at[order][1:] != at[order][:-1]]) if len(at) else np.zeros(0, int)
+    if not len(at):
+        return
+    cut = np.flatnonzero(np.r_[True, at[order][1:] != at[order][:-1]])
     for s, e in zip(cut, np.r_[cut[1:], len(at)], strict=True):
         yield int(at[order[s]]), order[s:e]
 
@@ -239,7 +241,7 @@ def _apply(n: int, width: int, names: list[str]):
                 w, g = (text or b"").split(), gone[s : s + k]
                 kept = w if not g.any() else [x for x, out in zip(w, g.tolist(), strict=True) if not out]
                 joined = b" ".join(kept).decode("utf-8", "surrogatepass")
-                clean = joined if len(kept) < k or text is None else text.decode("utf-8", "surrogatepass")
+                clean = None if text is None else joined if len(kept) < k else text.decode("utf-8", "surrogatepass")
                 held.append((doc_id, k, k - len(kept), joined, clean, other))
                 if len(held) == B.ARROW_ROWS:
                     yield rows(held)
@@ -253,8 +255,8 @@ def _apply(n: int, width: int, names: list[str]):
 def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, keep: tuple[str, ...] = ()) -> DataFrame:
     """Rows (id, n_words long, n_removed long, kept_text, clean_text, *keep), one for each input row.
 
-    ``kept_text`` has the kept words joined by one space; ``clean_text`` is the text as it was where
-    nothing was removed, else the same.
+    ``kept_text`` has the kept words joined by one space; ``clean_text`` is the text as it was (null too)
+    where nothing was removed, else the same.
     """
     spark = B.tune(df.sparkSession)
     n = B.buckets(spark)
