@@ -159,9 +159,30 @@ def failures(answer: Column, latency: Column, budget: float, wanted: list[str])
 
 def subquestions(parts: Column) -> Column:
     """Two to four questions that are not blank, else none: the question is atomic."""
-    kept = F.filter(F.transform(parts, F.trim), lambda x: x != "")
+    kept = F.filter(F.transform(parts, lambda x: F.trim(x)), lambda x: x != "")
     return F.when(F.size(kept).between(2, 4), kept).otherwise(F.array().cast("array<string>"))
 
 
 def with_notice(notice: Column, answer: Column) -> Column:
     return F.when(F.trim(F.coalesce(notice, F.lit(""))) == "", answer).otherwise(F.concat(notice, F.lit("\n\n"), answer))
+
+
+def known_arguments(args: Column, allowed: list[str], required: list[str]) -> tuple[Column, Column]:
+    """(the allowed arguments, what is missing or null)."""
+    lit = lambda names: F.array(*(F.lit(n) for n in names))
+    missing = F.array_except(lit(required), F.map_keys(args))
+    return F.map_filter(args, lambda k, _: F.array_contains(lit(allowed), k)), F.when(F.size(missing) > 0, F.concat(F.lit("missing: "), F.array_join(missing, ", ")))
+
+
+def generated_pairs(answer: Column, personas: tuple[str, ...] = ("homebuyer", "investor", "researcher")) -> Column:
+    """The (query, persona) structs of an answer's JSON whose query is not blank and whose persona is known."""
+    from marlstone.functions.text import greedy_json
+
+    got = F.from_json(greedy_json(answer), "queries array<struct<query: string, persona: string>>")["queries"]
+    return F.filter(F.coalesce(got, F.array().cast("array<struct<query: string, persona: string>>")), lambda p: (F.trim(p["query"]) != "") & p["persona"].isin(*personas))
+
+
+def has_exactly(raw: Column, names: list[str]) -> Column:
+    """JSON with these keys and no others; false for what is no object."""
+    keys = F.json_object_keys(raw)
+    return F.coalesce(F.array_sort(keys) == F.array(*(F.lit(n) for n in sorted(names))), F.lit(False))
