@@ -60,6 +60,11 @@ def written(df: DataFrame, name: str = "t") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def held(df: DataFrame, limit: int = 1_000_000) -> DataFrame:
+    """A written table of a few numbers a row, for broadcast if it has ``limit`` rows at most; beyond, as it is, to be joined by a shuffle."""
+    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+
+
 def buckets(spark: SparkSession, each: int = 2) -> int:
     return max(8, each * int(spark.conf.get("spark.sql.shuffle.partitions")))
 
@@ -72,6 +77,15 @@ def unpack(blob: bytes) -> object:
     return pickle.loads(zstandard.decompress(blob))
 
 
+def planes(a: np.ndarray) -> bytes:
+    """Unsigned 32-bit numbers as byte planes, which compress better when packed: most high bytes are 0."""
+    return np.ascontiguousarray(a.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+
+
+def unplanes(blob: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(blob, np.uint8).reshape(4, -1).T).view("<u4").ravel()
+
+
 def pack_sorted(a: np.ndarray) -> bytes:
     """Sorted unsigned 64-bit numbers as byte planes of their differences, which compress."""
     d = np.diff(a, prepend=a.dtype.type(0)).view(np.uint8).reshape(-1, 8)
@@ -86,7 +100,7 @@ def unpack_sorted(blob: bytes) -> np.ndarray:
 CHUNK = pa.schema([("chunk", pa.string()), ("payload", pa.binary())])
 
 
-def chunked(make: Callable[[list, list], object], limit: int = CHUNK_BYTES) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def chunked(make: Callable[[list, list], object], limit: int = CHUNK_BYTES, level: int = 3) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """A mapper of (id, text) batches to chunk rows; ``make(ids, texts)`` gives what a chunk holds.
 
     The chunk's name has the task, its number in the task and a digest, so that a recomputed task
@@ -97,7 +111,7 @@ def chunked(make: Callable[[list, list], object], limit: int = CHUNK_BYTES) -> C
         part, n, ids, texts, held = TaskContext.get().partitionId(), 0, [], [], 0
 
         def row() -> pa.RecordBatch:
-            blob = pack(make(ids, texts))
+            blob = pack(make(ids, texts), level)
             name = f"{part}-{n}-{hashlib.blake2b(blob, digest_size=8).hexdigest()}"
             return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([blob], pa.binary())], schema=CHUNK)
 

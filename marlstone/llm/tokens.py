@@ -46,7 +46,7 @@ def _kept(key: tuple, make):
 
 
 def _pretokens(pattern: str, n_buckets: int):
-    """For a chunk: ids, tokens of each text, the place of each pre-token in the chunk's list of distinct words, that list by bucket."""
+    """For a chunk: ids, tokens of each text, the number of each pre-token's word in order of appearance, the words by bucket, their numbers in that order."""
 
     def make(ids: list, texts: list) -> tuple:
         find, seen, lens, idx = regex.compile(pattern).findall, {}, [], []
@@ -60,10 +60,8 @@ def _pretokens(pattern: str, n_buckets: int):
         raw = [w.encode("utf-8", "surrogatepass") for w in seen]
         at = np.fromiter((_bucket(w, n_buckets) for w in raw), np.int32, len(raw))
         order = np.argsort(at, kind="stable")
-        place = np.empty(len(raw), np.uint32)
-        place[order] = np.arange(len(raw), dtype=np.uint32)
         lists = {int(b): [raw[i] for i in order[at[order] == b]] for b in np.unique(at)}
-        return ids, lens, place[np.concatenate(idx)] if idx else np.zeros(0, np.uint32), lists
+        return ids, lens, B.planes(np.concatenate(idx) if idx else np.zeros(0, np.uint32)), lists, B.planes(order)
 
     return make
 
@@ -110,21 +108,24 @@ def encode(df: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "
                 ids.append(memo[w])
             counts = np.fromiter(map(len, ids), np.uint32, len(ids))
             joined = np.fromiter((i for x in ids for i in x), np.uint32, int(counts.sum()))
-            yield pa.RecordBatch.from_arrays([pa.array([row["chunk"]]), pa.array([key[0].as_py()], pa.int32()), pa.array([B.pack((counts, joined))], pa.binary())], names=["chunk_", "bucket", "ids"])
+            yield pa.RecordBatch.from_arrays([pa.array([row["chunk"]]), pa.array([key[0].as_py()], pa.int32()), pa.array([B.pack((B.planes(counts), B.planes(joined)))], pa.binary())], names=["chunk_", "bucket", "ids"])
 
     def assemble(batches):
         for row in B.flat(batches):
-            doc_ids, lens, place, lists = B.unpack(row["payload"])
+            doc_ids, lens, packed, lists, packed_order = B.unpack(row["payload"])
+            order, seen = B.unplanes(packed_order), B.unplanes(packed)
+            place = np.empty(len(order), np.uint32)
+            place[order] = np.arange(len(order), dtype=np.uint32)
             got = {x["bucket"]: x["ids"] for x in row["got"] or []}
             if got.keys() != lists.keys():
                 raise RuntimeError("a recomputed chunk differs from the one that was encoded; run again")
-            parts = [B.unpack(got[b]) for b in sorted(got)]
+            parts = [tuple(map(B.unplanes, B.unpack(got[b]))) for b in sorted(got)]
             counts = np.concatenate([p[0] for p in parts]) if parts else np.zeros(0, np.uint32)
             joined = np.concatenate([p[1] for p in parts]) if parts else np.zeros(0, np.uint32)
             starts = np.cumsum(counts, dtype=np.int64) - counts
             at, ids, sizes, blobs = 0, [], [], []
             for doc_id, k in zip(doc_ids, lens, strict=True):
-                own = place[at : at + k]
+                own = place[seen[at : at + k]]
                 at += k
                 out = joined[_spread(starts[own], counts[own].astype(np.int64))].astype("<u4")
                 ids.append(doc_id)
@@ -143,7 +144,7 @@ def encode(df: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "
         return pa.RecordBatch.from_arrays([pa.array(ids, arrow), pa.array(sizes, pa.int64()), pa.array(blobs, pa.binary())], names=[id_col, "n_tokens", "ids"])
 
     docs = df.select(id_col, text_col)
-    chunks = docs.mapInArrow(B.chunked(_pretokens(pattern, n)), "chunk string, payload binary").repartition(F.col("chunk"))
+    chunks = docs.mapInArrow(B.chunked(_pretokens(pattern, n), level=6), "chunk string, payload binary").repartition(F.col("chunk"))
     asked = chunks.mapInArrow(_requests, "bucket int, chunk string, blob binary")
     told = asked.groupBy("bucket").applyInArrow(answer, "chunk_ string, bucket int, ids binary")
     got = told.groupBy("chunk_").agg(F.collect_list(F.struct("bucket", "ids")).alias("got"))
