@@ -29,8 +29,8 @@ MONTHS = ["jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct",
 def terms(text: Column) -> Column:
     """Lower-cased runs of ASCII letters and digits that are no stop words, in order."""
     found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit("[A-Za-z0-9]+"), F.lit(0))
-    stop = F.array(*(F.lit(w) for w in sorted(set(STOPWORDS))))
-    return F.filter(F.transform(found, F.lower), lambda t: ~F.array_contains(stop, t))
+    # a long IN list becomes a hash set
+    return F.filter(F.transform(found, lambda t: F.lower(t)), lambda t: ~t.isin(*sorted(set(STOPWORDS))))
 
 
 def about_housing(text: Column) -> Column:

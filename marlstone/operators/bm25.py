@@ -42,20 +42,30 @@ def idf_okapi(n: Column, df: Column) -> Column:
     return F.log(n - df + 0.5) - F.log(df + 0.5)
 
 
+MAX_BROADCAST = 1_000_000  # query terms that are broadcast at most
+
+
 def search(queries: DataFrame, docs: DataFrame, query_key: str, query_text: str, key: str, text: str, k: int = 10, okapi: bool = False) -> DataFrame:
-    """(query, doc, score, rank): the k best documents of each query with a score over 0."""
+    """(query, doc, score, rank): the k best documents of each query with a score over 0.
+
+    Tokens that no query has are dropped in the scan's own stage, before the first exchange.
+    """
     asked = postings(queries, query_key, query_text).select(F.col("doc").alias("query"), "term", F.col("tf").alias("qtf"))
-    stats = corpus_stats(docs, text)
-    freq = doc_freq(docs, key, text)
+    known = asked.select("term").distinct()
+    if known.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST:
+        known = F.broadcast(known)
+    words = docs.select(F.col(key).alias("doc"), terms(F.col(text)).alias("w"))
+    tf = words.select("doc", F.size("w").cast("long").alias("dl"), F.explode("w").alias("term")).join(known, "term", "left_semi").groupBy("doc", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
+    stats = words.agg(F.count(F.lit(1)).alias("n_docs"), F.avg(F.size("w").cast("double")).alias("avgdl"))
     if okapi:
-        raw = freq.join(F.broadcast(stats), how="cross").withColumn("raw", idf_okapi(F.col("n_docs"), F.col("df")))
+        raw = doc_freq(docs, key, text).join(F.broadcast(stats), how="cross").withColumn("raw", idf_okapi(F.col("n_docs"), F.col("df")))
         floor = raw.agg((F.avg("raw") * FLOOR).alias("floor"))  # one row each: stats and floor
-        idf = raw.join(asked.select("term").distinct(), "term", "left_semi").join(F.broadcast(floor), how="cross")
+        idf = raw.join(known, "term", "left_semi").join(F.broadcast(floor), how="cross")
         idf = idf.select("term", F.when(F.col("raw") < 0, F.col("floor")).otherwise(F.col("raw")).alias("idf"), "avgdl")
     else:
-        idf = freq.join(asked.select("term").distinct(), "term", "left_semi").join(F.broadcast(stats), how="cross").select("term", idf_script(F.col("n_docs"), F.col("df")).alias("idf"), "avgdl")
-    wanted = asked.join(idf, "term")
-    found = postings(docs, key, text).join(wanted, "term").join(lengths(docs, key, text), "doc")
+        freq = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+        idf = freq.join(F.broadcast(stats), how="cross").select("term", idf_script(F.col("n_docs"), F.col("df")).alias("idf"), "avgdl")
+    found = tf.join(asked.join(idf, "term"), "term")
     part = F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     scored = found.groupBy("query", "doc").agg(F.round(F.sum(part), DIGITS).alias("score"))
     return top_k(scored, k).filter("score > 0")
