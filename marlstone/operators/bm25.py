@@ -52,7 +52,7 @@ def search(queries: DataFrame, docs: DataFrame, query_key: str, query_text: str,
     """
     asked = postings(queries, query_key, query_text).select(F.col("doc").alias("query"), "term", F.col("tf").alias("qtf"))
     known = asked.select("term").distinct()
-    if known.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST:
+    if known.count() <= MAX_BROADCAST:
         known = F.broadcast(known)
     words = docs.select(F.col(key).alias("doc"), terms(F.col(text)).alias("w"))
     tf = words.select("doc", F.size("w").cast("long").alias("dl"), F.explode("w").alias("term")).join(known, "term", "left_semi").groupBy("doc", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
