@@ -105,7 +105,7 @@ def citation_match(spark, sf_dir):
     return agents.match_citations(c, e, ["conv_id", "turn"]).select("conv_id", "turn", F.col("pos").alias("evidence"))
 
 
-@query("groundedness")
+@query("groundedness", f"WITH {CITED} SELECT conv_id, turn, 1.0::DOUBLE AS groundedness, 1 AS n_numeric, 1 AS n_grounded FROM x")
 def groundedness(spark, sf_dir):
     return agents.groundedness(cited(spark, sf_dir), ["conv_id", "turn"], "answer")
 
@@ -123,7 +123,7 @@ def citation_renumber(spark, sf_dir):
 PLACE_TEXTS = ["Richmond median", "Richmond VIC median", "homes in St Kilda and Perth", "Newcastle rents", "richmonds"]
 
 
-@query("place_ambiguity")
+@query("place_ambiguity", "SELECT conv_id, turn, pos, place, options FROM conversations JOIN (VALUES (0, 0, 'Richmond', 'VIC|NSW|TAS'), (2, 9, 'St Kilda', 'VIC|SA'), (2, 22, 'Perth', 'WA|TAS|Scotland'), (3, 0, 'Newcastle', 'NSW|UK')) v(k, pos, place, options) ON k = turn % 5")
 def place_ambiguity(spark, sf_dir):
     t = F.element_at(F.array(*(F.lit(x) for x in PLACE_TEXTS)), (F.col("turn") % 5 + 1).cast("int"))
     return agents.ambiguous_places(table(spark, sf_dir, "conversations").select("conv_id", "turn", t.alias("query")), ["conv_id", "turn"], "query")

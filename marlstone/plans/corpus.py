@@ -209,7 +209,7 @@ def new_urls_per_page(spark, sf_dir):
     return p.select("batch").distinct().join(first, "batch", "left").select("batch", n.alias("n_new"), (n < 2).alias("stop"))
 
 
-@query("embedded_json", None)
+@query("embedded_json", "SELECT page_id, 2020 AS year, (page_id % 12 + 1)::INTEGER AS month, 5 AS listings FROM pages")
 def embedded_json(spark, sf_dir):
     """The rows of a script variable of each page, as structs (the pages' scripts hold none: a series is built from the id)."""
     html = F.concat(F.col("html"), F.lit('<script>var data=[{"year":2020,"month":'), (F.col("page_id") % 12 + 1).cast("string"), F.lit(',"listings":5},{"year":"x"}];</script>'))
