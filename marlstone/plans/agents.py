@@ -78,13 +78,13 @@ def turn_initialisation(spark, sf_dir):
     return m.select("conv_id", F.trim("text").alias("query"), agents.persona(shown).alias("persona"))
 
 
-CITED = """x AS (SELECT conv_id, turn, '4.1% [source: ' || (CASE turn % 3 WHEN 0 THEN 'RBA' WHEN 1 THEN ' APRA ' ELSE 'SQM' END) || ', page: ' || turn || '] and [tool: rate, retrieved: 2026-04-26] ' || left(text, 40) || ' [source: RBA, page: 0]' AS answer FROM conversations)"""
+CITED = """x AS (SELECT conv_id, turn, '4.1% [source: ' || (CASE turn % 3 WHEN 0 THEN 'RBA' WHEN 1 THEN ' APRA ' ELSE 'SQM' END) || ', page: ' || turn || '] and [tool: rate, retrieved: 2026-04-26] ' || text || ' [source: RBA, page: 0]' AS answer FROM conversations)"""
 
 
 def cited(spark, sf_dir):
     """Answers with citations: each message between three markers."""
     name = F.when(F.col("turn") % 3 == 0, "RBA").when(F.col("turn") % 3 == 1, " APRA ").otherwise("SQM")
-    answer = F.concat(F.lit("4.1% [source: "), name, F.lit(", page: "), F.col("turn").cast("string"), F.lit("] and [tool: rate, retrieved: 2026-04-26] "), F.substring("text", 1, 40), F.lit(" [source: RBA, page: 0]"))
+    answer = F.concat(F.lit("4.1% [source: "), name, F.lit(", page: "), F.col("turn").cast("string"), F.lit("] and [tool: rate, retrieved: 2026-04-26] "), "text", F.lit(" [source: RBA, page: 0]"))
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", answer.alias("answer"))
 
 
@@ -105,7 +105,7 @@ def citation_match(spark, sf_dir):
     return agents.match_citations(c, e, ["conv_id", "turn"]).select("conv_id", "turn", F.col("pos").alias("evidence"))
 
 
-@query("groundedness", f"WITH {CITED} SELECT conv_id, turn, 1.0::DOUBLE AS groundedness, 1 AS n_numeric, 1 AS n_grounded FROM x")
+@query("groundedness")
 def groundedness(spark, sf_dir):
     return agents.groundedness(cited(spark, sf_dir), ["conv_id", "turn"], "answer")
 

@@ -37,10 +37,10 @@ def headline_split(spark, sf_dir):
     return d.groupBy(regime.alias("regime"), (regime != "pre_2026_reform").alias("headline")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("payload_projection", "SELECT doc_id::VARCHAR AS chunk_id, source AS publisher, left(text, 60) AS text, len(regexp_extract_all(text, '[^ \\t\\n\\r]+'))::BIGINT AS token_count FROM documents")
+@query("payload_projection", "SELECT doc_id::VARCHAR AS chunk_id, source AS publisher, text, len(regexp_extract_all(text, '[^ \\t\\n\\r]+'))::BIGINT AS token_count FROM documents")
 def payload_projection(spark, sf_dir):
     n = F.size(F.filter(F.split("text", r"[ \t\n\r]+"), lambda w: w != "")).cast("long")
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("chunk_id"), F.col("source").alias("publisher"), F.substring("text", 1, 60).alias("text"), n.alias("token_count"))
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("chunk_id"), F.col("source").alias("publisher"), "text", n.alias("token_count"))
 
 
 @query("keyword_filter", f"SELECT doc_id FROM documents WHERE regexp_matches(lower(text), '{'|'.join(X.HOUSING)}')")
@@ -58,11 +58,11 @@ OPENINGS = ["which mortgage should I take", "best landlord insurance", "how does
 OPENING_SQL = "[" + ", ".join(f"'{x}'" for x in OPENINGS) + "]"
 
 
-@query("guardrail_screen", f"WITH x AS (SELECT conv_id, turn, ({OPENING_SQL})[(conv_id + turn) % 6 + 1] || ' ' || left(text, 80) AS q FROM conversations) SELECT conv_id, turn, {ACTION} AS action, {CATEGORY} AS category FROM x")
+@query("guardrail_screen", f"WITH x AS (SELECT conv_id, turn, ({OPENING_SQL})[(conv_id + turn) % 6 + 1] || ' ' || text AS q FROM conversations) SELECT conv_id, turn, {ACTION} AS action, {CATEGORY} AS category FROM x")
 def guardrail_screen(spark, sf_dir):
     """Each message after one of six openings, so that every rule is met."""
     opening = F.element_at(F.array(*(F.lit(x) for x in OPENINGS)), ((F.col("conv_id") + F.col("turn")) % 6 + 1).cast("int"))
-    action, category = rules.screen(F.concat_ws(" ", opening, F.substring("text", 1, 80)))
+    action, category = rules.screen(F.concat_ws(" ", opening, "text"))
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", action.alias("action"), category.alias("category"))
 
 
@@ -85,9 +85,9 @@ def substantive_filter(spark, sf_dir):
 SLUG = "trim(left(regexp_replace(lower(trim(regexp_replace({}, '[^\\p{{L}}\\p{{N}}_\\s-]', '', 'g'))), '[\\s_-]+', '-', 'g'), {}), '-')"
 
 
-@query("slugify", f"SELECT doc_id, {SLUG.format('left(text, 120)', 80)} AS slug FROM documents")
+@query("slugify", f"SELECT doc_id, {SLUG.format('text', 80)} AS slug FROM documents")
 def slugify(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", X.slug(F.substring("text", 1, 120)).alias("slug"))
+    return table(spark, sf_dir, "documents").select("doc_id", X.slug(F.col("text")).alias("slug"))
 
 
 @query("date_prefixes", "SELECT o_orderkey, CASE o_orderkey % 6 WHEN 0 THEN strftime(o_orderdate, '%Y-00') WHEN 1 THEN strftime(o_orderdate, '%Y-%m') WHEN 2 THEN strftime(o_orderdate, '%Y-%m') WHEN 3 THEN strftime(o_orderdate, '%Y-%m') WHEN 4 THEN strftime(o_orderdate, '%Y-00') ELSE 'unknown' END AS prefix FROM orders")
@@ -132,9 +132,9 @@ def chunk_keys(spark, sf_dir):
     return d.withColumn("document", keys.document_of_chunk(F.col("chunk_id")))
 
 
-@query("target_stems", f"SELECT doc_id, source || '/' || 'unknown_' || coalesce(nullif({SLUG.format('left(text, 50)', 80)}, ''), 'untitled') AS stem FROM documents")
+@query("target_stems", f"SELECT doc_id, source || '/' || 'unknown_' || coalesce(nullif({SLUG.format('text', 80)}, ''), 'untitled') AS stem FROM documents")
 def target_stems(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", keys.target_stem(F.col("source"), F.lit(None), F.substring("text", 1, 50)).alias("stem"))
+    return table(spark, sf_dir, "documents").select("doc_id", keys.target_stem(F.col("source"), F.lit(None), F.col("text")).alias("stem"))
 
 
 @query("call_keys", "SELECT event_id, event_type || '::' || '{\"k\":\"' || (props::JSON->>'k') || '\",\"u\":\"' || user_id || '\"}' AS key FROM events")

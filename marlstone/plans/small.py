@@ -97,14 +97,14 @@ def guardrail_route(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.when(action == "refuse", "terminal").when(action == "annotate", "annotated").otherwise("pass").alias("route"))
 
 
-@query("notice_prepend", "SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN 'Note.' || chr(10) || chr(10) || left(text, 20) ELSE left(text, 20) END AS answer FROM conversations")
+@query("notice_prepend", "SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN 'Note.' || chr(10) || chr(10) || text ELSE text END AS answer FROM conversations")
 def notice_prepend(spark, sf_dir):
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", agents.with_notice(F.when(F.col("turn") % 2 == 0, "Note.").otherwise(" "), F.substring("text", 1, 20)).alias("answer"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", agents.with_notice(F.when(F.col("turn") % 2 == 0, "Note.").otherwise(" "), F.col("text")).alias("answer"))
 
 
-@query("clarification_append", "SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN left(text, 20) || ' (Richmond VIC)' ELSE left(text, 20) END AS query FROM conversations")
+@query("clarification_append", "SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN text || ' (Richmond VIC)' ELSE text END AS query FROM conversations")
 def clarification_append(spark, sf_dir):
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", agents.clarified(F.substring("text", 1, 20), F.when(F.col("turn") % 2 == 0, "Richmond VIC")).alias("query"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", agents.clarified(F.col("text"), F.when(F.col("turn") % 2 == 0, "Richmond VIC")).alias("query"))
 
 
 @query("decompose_check", "WITH p AS (SELECT conv_id, turn, list_filter(list_transform(string_split(text, '.'), lambda x: trim(x)), lambda x: x <> '') AS l FROM conversations) SELECT conv_id, turn, CASE WHEN len(l) BETWEEN 2 AND 4 THEN array_to_string(l, '|') ELSE '' END AS parts FROM p")
@@ -137,10 +137,10 @@ def suggestion_cleanup(spark, sf_dir):
     return first.withColumn("place", F.row_number().over(W.partitionBy("conv_id", "turn").orderBy("i"))).filter("place <= 3").select("conv_id", "turn", "place", "q")
 
 
-@query("source_blocks", f"WITH {BASE}, {hits_sql('script', 10, 's')} SELECT item_id, string_agg('[' || rank || '] ' || source || chr(10) || left(text, 60), chr(10) ORDER BY rank) AS block FROM s JOIN documents USING (doc_id) WHERE rank <= 3 GROUP BY item_id")
+@query("source_blocks", f"WITH {BASE}, {hits_sql('script', 10, 's')} SELECT item_id, string_agg('[' || rank || '] ' || source || chr(10) || text, chr(10) ORDER BY rank) AS block FROM s JOIN documents USING (doc_id) WHERE rank <= 3 GROUP BY item_id")
 def source_blocks(spark, sf_dir):
     """The evidence of the plain pipeline: numbered passages of each query."""
-    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), F.concat(F.lit("] "), "source", F.lit("\n"), F.substring("text", 1, 60)).alias("t"))
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), F.concat(F.lit("] "), "source", F.lit("\n"), "text").alias("t"))
     hits = bm25_hits(spark, sf_dir, 10).filter("rank <= 3").join(d, "doc")
     lists = hits.groupBy("query").agg(F.array_sort(F.collect_list(F.struct("rank", "t"))).alias("l"))
     return lists.select(F.col("query").alias("item_id"), F.array_join(F.transform("l", lambda x: F.concat(F.lit("["), x["rank"].cast("string"), x["t"])), "\n").alias("block"))
@@ -225,9 +225,9 @@ def record_evaluation(spark, sf_dir):
     return gold.join(final, "conv_id", "left").select("conv_id", n.alias("answers"), "last", (n >= F.col("expected")).alias("passed"))
 
 
-@query("evidence_text", "SELECT conv_id, md5(string_agg(role || ': ' || left(text, 100), chr(10) ORDER BY turn)) AS evidence FROM conversations GROUP BY conv_id")
+@query("evidence_text", "SELECT conv_id, md5(string_agg(role || ': ' || text, chr(10) ORDER BY turn)) AS evidence FROM conversations GROUP BY conv_id")
 def evidence_text(spark, sf_dir):
-    lists = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", F.concat("role", F.lit(": "), F.substring("text", 1, 100)).alias("t")))).alias("l"))
+    lists = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", F.concat("role", F.lit(": "), "text").alias("t")))).alias("l"))
     return lists.select("conv_id", F.md5(F.array_join(F.transform("l", lambda x: x["t"]), "\n")).alias("evidence"))
 
 
