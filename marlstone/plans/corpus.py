@@ -168,19 +168,19 @@ def link_extraction(spark, sf_dir):
 
 @query("html_to_markdown")
 def html_to_markdown(spark, sf_dir):
-    return corpus.html_to_markdown(table(spark, sf_dir, "pages"), "page_id", "html")
+    return corpus.html_to_markdown(tables.spread(table(spark, sf_dir, "pages")), "page_id", "html")
 
 
 @query("chunk_pack")
 def chunk_pack(spark, sf_dir):
     """Pages as Markdown, packed into chunks of at most 200 words with an overlap of 20."""
-    md = corpus.html_to_markdown(table(spark, sf_dir, "pages"), "page_id", "html")
+    md = corpus.html_to_markdown(tables.spread(table(spark, sf_dir, "pages")), "page_id", "html")
     return corpus.pack(md, "page_id", "markdown", least=50, most=200, overlap=20)
 
 
 @query("heading_stack")
 def heading_stack(spark, sf_dir):
-    return corpus.paragraphs(corpus.html_to_markdown(table(spark, sf_dir, "pages"), "page_id", "html"), "page_id", "markdown")
+    return corpus.paragraphs(corpus.html_to_markdown(tables.spread(table(spark, sf_dir, "pages")), "page_id", "html"), "page_id", "markdown")
 
 
 @query("stem_join", "SELECT p.page_id, d.doc_id FROM (SELECT page_id, page_id % 500 AS stem FROM pages) p LEFT JOIN (SELECT doc_id, doc_id % 500 AS stem, row_number() OVER (PARTITION BY doc_id % 500 ORDER BY doc_id DESC) AS n FROM documents) d ON d.stem = p.stem AND n = 1")

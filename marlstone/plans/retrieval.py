@@ -9,7 +9,7 @@ from pyspark.sql.window import Window as W
 from marlstone.functions import text as X
 from marlstone.operators import bm25, dense, evaluate, fuse
 from marlstone.plans.registry import query
-from marlstone.sources.tables import table
+from marlstone.sources.tables import spread, table
 
 STOP = "[" + ", ".join(f"'{w}'" for w in sorted(set(X.STOPWORDS))) + "]"
 
@@ -35,7 +35,7 @@ def hits_sql(kind: str, k: int, name: str) -> str:
 
 
 def bm25_hits(spark: SparkSession, sf_dir: str, k: int, okapi: bool = False) -> DataFrame:
-    return bm25.search(table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents"), "item_id", "text", "doc_id", "text", k, okapi)
+    return bm25.search(table(spark, sf_dir, "benchmark"), spread(table(spark, sf_dir, "documents")), "item_id", "text", "doc_id", "text", k, okapi)
 
 
 @query("tokenize_terms", f"WITH {TOK} SELECT doc_id, len(w)::BIGINT AS n_terms, md5(array_to_string(w, ' ')) AS terms_md5 FROM tok")
@@ -131,7 +131,7 @@ def gold_pairs(spark, sf_dir, width: int = 8) -> DataFrame:
     """(query, doc, lang): documents that contain an item's whole text, found by its opening words, then verified."""
     split = lambda c: F.filter(F.split(c, r"\s+"), lambda w: w != "")
     items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query"), F.col("text").alias("item"), F.xxhash64(F.slice(split(F.col("text")), 1, width)).alias("key"))
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), "lang", "text", split(F.col("text")).alias("w")).filter(F.size("w") >= width)
+    docs = spread(table(spark, sf_dir, "documents")).select(F.col("doc_id").alias("doc"), "lang", "text", split(F.col("text")).alias("w")).filter(F.size("w") >= width)
     at = docs.select("doc", "w", F.explode(F.sequence(F.lit(1), F.size("w") - width + 1)).alias("i")).select("doc", F.xxhash64(F.slice("w", F.col("i"), width)).alias("key"))
     found = at.join(items, "key").select("doc", "query", "item").distinct()
     return found.join(docs.select("doc", "lang", "text"), "doc").filter(F.contains("text", F.col("item"))).select("query", "doc", "lang")

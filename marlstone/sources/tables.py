@@ -18,6 +18,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, each: int = 1 << 20) -> DataFrame:
+    """A scan of too few splits for the session's cores, dealt out to them, a piece of ``each`` bytes at least to each.
+
+    Small files of one row group are read by one task, which leaves the other cores idle in what follows.
+    A large scan has more splits than cores and is left alone.
+    """
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    n = min(df.sparkSession.sparkContext.defaultParallelism, size // each)
+    return df.repartition(n) if df.rdd.getNumPartitions() < n else df
+
+
 def jsonl(spark: SparkSession, path: str, schema: T.StructType, required: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
     """(rows, rejects): blank lines are skipped; lines that are no JSON or lack a required key are rejects."""
     lines = spark.read.text(path).filter(F.trim("value") != "")
