@@ -22,6 +22,8 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marlstone.sources.tables import spread
+
 #: Words of the contracts: runs of anything but ASCII white space.  bytes.split() follows the same rule.
 SPACE = r"[\x20\x09-\x0D]+"
 CHUNK_BYTES = 4 << 20
@@ -35,7 +37,7 @@ def tune(spark: SparkSession) -> SparkSession:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return tune(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(tune(spark).read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def words(text: Column) -> Column:
@@ -62,7 +64,7 @@ def written(df: DataFrame, name: str = "t") -> DataFrame:
 
 def held(df: DataFrame, limit: int = 1_000_000) -> DataFrame:
     """A written table of a few numbers a row, for broadcast if it has ``limit`` rows at most; beyond, as it is, to be joined by a shuffle."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+    return F.broadcast(df) if df.count() <= limit else df
 
 
 def buckets(spark: SparkSession, each: int = 2) -> int:

@@ -35,7 +35,7 @@ _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 class _Words(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 1_000_000:
+        if len(self) > 200_000:  # about 30 MB; several workers share an executor
             self.clear()
         h = self[word] = xxhash.xxh64_intdigest(word)
         return h
@@ -241,7 +241,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     pairs = pairs.join(subs.toDF("a", "x"), "a").join(subs.toDF("b", "y"), "b").select("a", "b", "x", "y")
     coarse = components(pairs.mapInArrow(_close, "a long, b long")).toDF("id", "z")
     size = coarse.groupBy("z").agg(F.count(F.lit(1)).alias("size"))
-    member = coarse.join(size, "z").join(docs.filter("id IS NOT NULL"), "id").select("z", "id", "size", "text")
+    member = B.held(B.written(coarse.join(size, "z").select("z", "id", "size"), "ids")).join(docs.filter("id IS NOT NULL"), "id").select("z", "id", "size", "text")
     member = B.written(member, "member")
     check, kind = _verify(width, percent), "z long, a long, b long"
     block = F.pmod(F.xxhash64("id"), F.ceil(F.col("size") / BLOCK))
