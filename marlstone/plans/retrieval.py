@@ -281,7 +281,7 @@ BOOSTS = [("src0", 1.2), ("src3", 1.15), ("src5", 0.9), ("src13", 0.95)]
 @query(
     "publisher_boost_rerank",
     f"""WITH {BASE}, {hits_sql('script', 50, 's')}, bo(source, boost) AS (VALUES {", ".join(f"('{a}', {b})" for a, b in BOOSTS)}),
-h AS (SELECT item_id, doc_id, score, rank, item_id % 5 = 0 AS neutral, round(score * coalesce(boost::DOUBLE, 1), 6) AS bs FROM s JOIN documents USING (doc_id) LEFT JOIN bo USING (source)),
+h AS (SELECT item_id, doc_id, score, rank, item_id % 5 = 0 AS neutral, floor(score * coalesce(boost::DOUBLE, 1) * 1000000 + 0.5) / 1000000 AS bs FROM s JOIN documents USING (doc_id) LEFT JOIN bo USING (source)),
 r AS (SELECT *, CASE WHEN neutral THEN score ELSE bs END AS boosted, row_number() OVER (PARTITION BY item_id ORDER BY CASE WHEN neutral THEN 0 ELSE bs END DESC, rank)::INTEGER AS new_rank FROM h)
 SELECT item_id, doc_id, boosted, new_rank FROM r WHERE new_rank <= 8""",
 )

@@ -43,7 +43,7 @@ def jsonl(spark: SparkSession, path: str, schema: T.StructType, required: tuple[
 
 def whole_files(spark: SparkSession, folder: str, glob: str = "*.md", skip: tuple[str, ...] = ("eval", "training")) -> DataFrame:
     """(path, text) of each file below a folder, without the folders to skip."""
-    rows = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(folder)
+    rows = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(folder, wholetext=True)
     rows = rows.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
     for s in skip:
         rows = rows.filter(~F.contains("path", F.lit(f"/{s}/")))

@@ -87,7 +87,7 @@ def test_markdown():
     page = "<html><head><title>T</title></head><body><nav>menu</nav><h2>H</h2><p>one <b>two</b></p><ul><li>x</li></ul><script>p</script></body></html>"
     assert corpus.markdown(page) == "# T\n\n## H\n\none two\n\n- x\n"
     assert corpus.markdown(None) == "\n"
-    assert corpus.paragraph_stream("# A\np\n## B\nq\n\nr\n# C\ns\n#  \nt") == [(["A"], "p"), (["A", "B"], "q"), (["A", "B"], "r"), (["C"], "s\n#  \nt")]
+    assert corpus.paragraph_stream("# A\np\n## B\nq\n\nr\n# C\ns\n#  \nt") == [(["A"], "p"), (["A", "B"], "q"), (["A", "B"], "r"), (["C"], "s"), (["C"], "t")]
 
 
 def test_grounding():
