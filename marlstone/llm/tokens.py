@@ -58,14 +58,27 @@ def _pretokens(pattern: str, n_buckets: int):
                     seen[w] = len(seen)
             idx.append(np.fromiter(map(seen.__getitem__, found), np.uint32, len(found)))
         raw = [w.encode("utf-8", "surrogatepass") for w in seen]
-        at = np.fromiter((_bucket(w, n_buckets) for w in raw), np.int32, len(raw))
-        order = np.argsort(at, kind="stable")
-        lists = {int(b): [raw[i] for i in order[at[order] == b]] for b in np.unique(at)}
+        at = [_bucket(w, n_buckets) for w in raw]
+        # words sorted within their bucket compress: neighbours share their first bytes
+        order = np.array(sorted(range(len(raw)), key=lambda i: (at[i], raw[i])), np.uint32)
+        lists: dict[int, list[bytes]] = {}
+        for i in order.tolist():
+            lists.setdefault(at[i], []).append(raw[i])
+        lists = {b: _join_words(words) for b, words in lists.items()}
         return ids, lens, B.planes(np.concatenate(idx) if idx else np.zeros(0, np.uint32)), lists, B.planes(order)
 
     return make
 
 
+def _join_words(words: list[bytes]) -> tuple[bytes, bytes]:
+    return B.planes(np.fromiter(map(len, words), np.uint32, len(words))), b"".join(words)
+
+
+def _split_words(joined: tuple[bytes, bytes]) -> list[bytes]:
+    ends = np.cumsum(B.unplanes(joined[0]), dtype=np.int64).tolist()
+    return [joined[1][s:e] for s, e in zip([0, *ends], ends, strict=False)]
+
+
 def _bucket(word: bytes, n: int) -> int:
     import zlib
 
@@ -102,7 +115,7 @@ def encode(df: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "
         enc, memo = _kept(("bpe", pattern, len(table.value)), lambda: _encoder(table.value, pattern)), {}
         for row in B.flat(batches):
             ids = []
-            for w in B.unpack(row["blob"]):
+            for w in _split_words(B.unpack(row["blob"])):
                 if w not in memo:
                     memo[w] = enc._core_bpe.encode_single_piece(w)
                 ids.append(memo[w])
@@ -144,7 +157,7 @@ def encode(df: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "
         return pa.RecordBatch.from_arrays([pa.array(ids, arrow), pa.array(sizes, pa.int64()), pa.array(blobs, pa.binary())], names=[id_col, "n_tokens", "ids"])
 
     docs = df.select(id_col, text_col)
-    chunks = docs.mapInArrow(B.chunked(_pretokens(pattern, n), level=6), "chunk string, payload binary").repartition(F.col("chunk"))
+    chunks = docs.mapInArrow(B.chunked(_pretokens(pattern, n), 2 * B.CHUNK_BYTES, level=6), "chunk string, payload binary").repartition(F.col("chunk"))
     asked = chunks.mapInArrow(_requests, "bucket int, chunk string, blob binary")
     told = asked.groupBy("bucket").applyInArrow(answer, "chunk_ string, bucket int, ids binary")
     got = told.groupBy("chunk_").agg(F.collect_list(F.struct("bucket", "ids")).alias("got"))
@@ -234,7 +247,7 @@ class Counting:
     def merged(self, word: str) -> int:
         n = self.memo.get(word)
         if n is None:
-            if len(self.memo) >= 500_000:
+            if len(self.memo) >= 200_000:
                 self.memo.clear()
             raw = word.encode("utf-8").decode("latin-1").translate(self.chars)
             n = self.memo[word] = merge_count(list(raw), self.ranks) if len(raw) < 400 else merge_long(raw, self.ranks)
@@ -286,18 +299,17 @@ def count_tokens(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str
     spark = B.tune(df.sparkSession)
     with open(path, "rb") as f:
         raw = f.read()
-    share = spark.sparkContext.broadcast(raw)
-    kind = "model"
+    kind, value = "model", raw
     if path.endswith(".json"):
         try:
-            Counting(json.loads(raw))
-            kind = "shortcut"
+            kind, value = "shortcut", Counting(json.loads(raw))  # proven here once, not by each worker
         except ValueError:
             kind = "json"
+    share = spark.sparkContext.broadcast(value)
 
     def counter():
         if kind == "shortcut":
-            return Counting(json.loads(share.value)).count
+            return share.value.count
         if kind == "json":
             from tokenizers import Tokenizer
 
