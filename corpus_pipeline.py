@@ -27,13 +27,14 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates (five-word shingles, similarity 0.8) the document of smallest id."""
     found = minhash.near_duplicates(docs)
-    return docs.join(found.filter("NOT kept").select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+    gone = _base.written(found.filter("NOT kept").select("doc_id").distinct(), "gone")
+    return docs.join(_base.held(gone), "doc_id", "left_anti").select(docs.columns)
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the word windows that a smaller document has; those with no word left go."""
     others = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
-    out = recompress.remove_repeats(docs, keep=others).filter("n_removed < n_words OR n_words = 0")
+    out = recompress.remove_repeats(docs, keep=others, outputs=("clean_text",)).filter("n_removed < n_words OR n_words = 0")
     size = F.when(F.col("n_removed") > 0, F.length("clean_text").cast("long"))
     cols = {"text": F.col("clean_text").alias("text")}
     if "n_chars" in docs.columns:
@@ -44,7 +45,8 @@ def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no benchmark item is found."""
     found = spaced.find_leaks(docs, _base.table(spark, sf_dir, "benchmark"))
-    return docs.join(found.select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+    gone = _base.written(found.select("doc_id").distinct(), "gone")
+    return docs.join(_base.held(gone), "doc_id", "left_anti").select(docs.columns)
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
