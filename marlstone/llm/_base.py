@@ -10,6 +10,7 @@ follows ``spark.sql.shuffle.partitions``, the setting that a cluster sizes to it
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 import pickle
 import uuid
@@ -99,6 +100,15 @@ def unpack_sorted(blob: bytes) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).ravel(), dtype=np.uint64)
 
 
+def trim() -> None:
+    """Give freed memory back: workers outlive their tasks, and several share an executor."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 CHUNK = pa.schema([("chunk", pa.string()), ("payload", pa.binary())])
 
 
@@ -127,6 +137,8 @@ def chunked(make: Callable[[list, list], object], limit: int = CHUNK_BYTES, leve
                     n, ids, texts, held = n + 1, [], [], 0
         if ids:
             yield row()
+        ids, texts = [], []
+        trim()
 
     return run
 

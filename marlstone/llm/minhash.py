@@ -112,7 +112,7 @@ def _table_keys(subs: np.ndarray) -> np.ndarray:
     return mix(mix(u[:, :, None] + tag) ^ v[:, None, :] * _MIX)
 
 
-def _publish(n_buckets: int, limit: int = 8192):
+def _publish(n_buckets: int, limit: int = 4096):
     def rows(ids: list, subs: list) -> pa.RecordBatch:
         k = _table_keys(np.frombuffer(b"".join(subs), np.uint64).reshape(len(subs), 2 * M))
         keys, lead, pairs = _star(k.reshape(-1), np.repeat(np.array(ids, np.int64), M * M))
@@ -132,8 +132,10 @@ def _publish(n_buckets: int, limit: int = 8192):
             if len(ids) >= limit:
                 yield rows(ids, subs)
                 ids, subs = [], []
+                B.trim()
         if ids:
             yield rows(ids, subs)
+            B.trim()
 
     return run
 
@@ -147,6 +149,8 @@ def _meet(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iter
             pairs.append(B.unpack(row["pairs"]))
     pairs.append(_star(np.concatenate(keys), np.concatenate(ids))[2])
     p = np.unique(np.concatenate(pairs), axis=0)
+    del keys, ids, pairs
+    B.trim()
     for i in range(0, len(p), 10_000):
         yield pa.RecordBatch.from_arrays([pa.array(p[i : i + 10_000, 0]), pa.array(p[i : i + 10_000, 1])], names=["a", "b"])
 
@@ -214,6 +218,8 @@ def _verify(width: int, percent: int):
             for z, *row in zip(*cols, strict=True):
                 groups.setdefault(z, []).append(row)
         out = [(z, *x) for z, rows in groups.items() for x in links(rows)]
+        groups.clear()
+        B.trim()
         yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in range(3)], names=["z", "a", "b"])
 
     return run

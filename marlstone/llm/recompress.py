@@ -162,6 +162,8 @@ def _ask_keys(n: int, width: int):
             first = np.flatnonzero(np.r_[True, k[1:] != k[:-1]]) if len(k) else np.zeros(0, int)
             many = np.add.reduceat(np.r_[(k[1:] == k[:-1]) & (d[1:] != d[:-1]), False].astype(np.int64), first) > 0 if len(k) else np.zeros(0, bool)
             yield _ask(row["chunk"], k[first], n, lambda own: _bits(many[own]))  # noqa: B023
+            del p, order, k, d, first, many
+            B.trim()
 
     return run
 
@@ -208,6 +210,8 @@ def _ask_windows(n: int, width: int):
             _, digest, docs = _candidates(Parsed(texts, width), ids, n, row["got"])
             d, least = _least(digest, docs)
             yield _ask(row["chunk"], d, n, lambda own: B.pack(least[own], 1))  # noqa: B023
+            del digest, docs, d, least
+            B.trim()
 
     return run
 
@@ -218,7 +222,9 @@ def _smaller(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> I
     yield from _tell([(chunk, key[0].as_py(), least[np.searchsorted(d, own)] < ids) for chunk, own, ids in rows])
 
 
-def _apply(n: int, width: int, names: list[str]):
+def _apply(n: int, width: int, names: list[str], outputs: tuple[str, ...]):
+    want_kept, want_clean = "kept_text" in outputs, "clean_text" in outputs
+
     def rows(held: list) -> pa.RecordBatch:
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string())
         return pa.RecordBatch.from_arrays([pa.array([r[i] for r in held], k) for i, k in enumerate(kinds)], names=names)
@@ -240,20 +246,24 @@ def _apply(n: int, width: int, names: list[str]):
             for doc_id, text, other, s, k in zip(ids, texts, rest, p.starts.tolist(), p.n_words.tolist(), strict=True):
                 w, g = (text or b"").split(), gone[s : s + k]
                 kept = w if not g.any() else [x for x, out in zip(w, g.tolist(), strict=True) if not out]
-                joined = b" ".join(kept).decode("utf-8", "surrogatepass")
-                clean = None if text is None else joined if len(kept) < k else text.decode("utf-8", "surrogatepass")
+                changed = len(kept) < k
+                joined = b" ".join(kept).decode("utf-8", "surrogatepass") if want_kept or want_clean and changed else None
+                clean = None if text is None or not want_clean else joined if changed else text.decode("utf-8", "surrogatepass")
+                joined = joined if want_kept else None
                 held.append((doc_id, k, k - len(kept), joined, clean, other))
                 if len(held) == B.ARROW_ROWS:
                     yield rows(held)
                     held = []
             if held:
                 yield rows(held)
+            del p, pick, digest, docs, d, least, smaller, i, hit, cover, gone, held, texts
+            B.trim()
 
     return run
 
 
-def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Rows (id, n_words long, n_removed long, kept_text, clean_text, *keep), one for each input row.
+def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, keep: tuple[str, ...] = (), outputs: tuple[str, ...] = ("kept_text", "clean_text")) -> DataFrame:
+    """Rows (id, n_words long, n_removed long, *outputs, *keep), one for each input row.
 
     ``kept_text`` has the kept words joined by one space; ``clean_text`` is the text as it was (null too)
     where nothing was removed, else the same.
@@ -263,7 +273,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     others = df.select(*(F.col(c).alias(f"keep{i}") for i, c in enumerate(keep))).schema
     rest = F.to_json(F.struct(*(F.col(c).alias(f"keep{i}") for i, c in enumerate(keep)))) if keep else F.lit(None).cast("string")
     docs = df.select(F.struct(F.col(id_col).cast("long").alias("id"), rest.alias("rest")).alias("id"), F.col(text_col).alias("text"))
-    chunks = docs.mapInArrow(B.chunked(_documents), "chunk string, payload binary").repartition(F.col("chunk"))
+    chunks = docs.mapInArrow(B.chunked(_documents, B.CHUNK_BYTES // 2), "chunk string, payload binary").repartition(F.col("chunk"))
 
     def told(asked: DataFrame, answer, name: str) -> DataFrame:
         rows = asked.groupBy("bucket").applyInArrow(answer, "to string, bucket int, bits binary")
@@ -274,13 +284,13 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     smaller = told(with_got.mapInArrow(_ask_windows(n, width), ASKED), _smaller, "told")
     both = with_got.join(smaller.hint("shuffle_hash"), F.col("chunk") == F.col("to"), "left").select("payload", "got", "told")
     names = ["id", "n_words", "n_removed", "kept_text", "clean_text", "rest"]
-    out = both.mapInArrow(_apply(n, width, names), "id long, n_words long, n_removed long, kept_text string, clean_text string, rest string")
+    out = both.mapInArrow(_apply(n, width, names, outputs), "id long, n_words long, n_removed long, kept_text string, clean_text string, rest string")
     back = [F.from_json("rest", others).getField(f"keep{i}").alias(c) for i, c in enumerate(keep)]
-    return out.select(F.col("id").alias(id_col), "n_words", "n_removed", "kept_text", "clean_text", *back)
+    return out.select(F.col("id").alias(id_col), "n_words", "n_removed", *outputs, *back)
 
 
 def op3_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = remove_repeats(B.table(spark, sf_dir, "documents"))
+    out = remove_repeats(B.table(spark, sf_dir, "documents"), outputs=("kept_text",))
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
