@@ -1,7 +1,6 @@
 """The corpus operators against brute force, exact round trips and held-out accuracy."""
 
 import gzip
-import hashlib
 import io
 import json
 import random
