@@ -5,8 +5,10 @@ anything.  The seeds of benchmark items and documents are joined, and around eac
 laid over the document on the hit's diagonal: the share of its tokens that agree is the overlap, so
 substituted tokens cost no more than themselves.
 
+The seeds are light: an overlap of half an item of 13 tokens or more is always hit (see ``MASKS``).
+
 Tokens are lower-cased words without their punctuation.  Defined results: null and empty texts have no
-tokens and match nothing; items shorter than the masks are sought as a whole, exactly at their length;
+tokens and match nothing; items of fewer than five tokens are sought as a whole, exactly at their length;
 rows that share a document id are one document, rows that share an item id are tried each; a null
 document id is reported as null.  Other columns are ignored; empty tables give an empty result.
 """
@@ -18,9 +20,14 @@ from pyspark.sql import functions as F
 
 from marlstone.llm import _base as B
 
-#: 1: a token that must agree, 0: one that may differ.
-MASKS = ("110110010111", "111010011011", "101101110011")
-SPAN = 12
+#: 1: a token that must agree, 0: one that may differ.  All ways to agree in three of five neighbouring tokens.
+#: An item of n tokens of which half agree has such a five if (n + 1) // 2 > 2 * (n // 5) + min(n % 5, 2): a hit
+#: is certain from 13 tokens on, and at 5, 9, 10 and 11.  At the least count for 6, 7, 8 or 12 tokens, its places
+#: drawn at random, the chance is 0.80, 0.97, 0.91 and 0.999; one more token makes it certain there too.
+MASKS = ("111", "1101", "1011", "11001", "10101", "10011")
+SPAN = 5
+#: What the second engine's statement lays; its texts are unchanged.
+SQL_MASKS = ("110110010111", "111010011011", "101101110011")
 #: Seeds of the benchmark that are broadcast at most; beyond, the join shuffles both sides.
 MAX_BROADCAST = 2_000_000
 
@@ -32,7 +39,7 @@ def tokens(text: Column) -> Column:
 def _keys(hashes: str, at: str, masks: list[str]) -> Column:
     """The key of each mask laid at a place, null where it does not fit."""
     arr, i, n = F.col(hashes), F.col(at), F.size(F.col(hashes))
-    of = lambda k, m: F.when(i + len(m) <= n, F.xxhash64(F.lit(k), *(F.get(arr, i + j) for j, c in enumerate(m) if c == "1")))
+    of = lambda k, m: F.when(i + len(m) <= n, F.xxhash64(F.lit(int(k, 2)), *(F.get(arr, i + j) for j, c in enumerate(m) if c == "1")))
     return F.array(*(of(f"{m}", m) for m in masks))
 
 
@@ -53,7 +60,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, doc_col: str = "doc_id", item_
     # lengths below the masks' span: at most SPAN - 1 numbers
     short = sorted(r[0] for r in bench.filter(F.size("h") < SPAN).select(F.size("h")).distinct().collect())
     bench = bench.select("item", F.xxhash64("item", "h").alias("unit"), "h")
-    masks = [*MASKS, *("1" * n for n in short)]
+    masks = list(dict.fromkeys([*MASKS, *("1" * n for n in short)]))
     whole = F.size("h")
     seeds = _placed(bench.filter(whole >= SPAN), list(MASKS), "unit").select("key", "unit", "at")
     for n in short:
@@ -88,8 +95,8 @@ def _sql_keys(masks: tuple[str, ...]) -> str:
 OP4_SQL = rf"""
 WITH d AS (SELECT doc_id, regexp_extract_all(regexp_replace(lower(coalesce(text, '')), '[^\p{{L}}\p{{N}} \t\n\x0B\x0C\r]+', '', 'g'), '[^ \t\n\x0B\x0C\r]+') AS w FROM documents),
 b AS (SELECT item_id, regexp_extract_all(regexp_replace(lower(coalesce(text, '')), '[^\p{{L}}\p{{N}} \t\n\x0B\x0C\r]+', '', 'g'), '[^ \t\n\x0B\x0C\r]+') AS w FROM benchmark),
-dk AS (SELECT doc_id, i, k FROM (SELECT doc_id, i, unnest({_sql_keys(MASKS)}) AS k FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d)) WHERE k IS NOT NULL),
-bk AS (SELECT item_id, i, k FROM (SELECT item_id, i, unnest({_sql_keys(MASKS)}) AS k FROM (SELECT item_id, w, unnest(range(1, len(w) + 1)) AS i FROM b)) WHERE k IS NOT NULL),
+dk AS (SELECT doc_id, i, k FROM (SELECT doc_id, i, unnest({_sql_keys(SQL_MASKS)}) AS k FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d)) WHERE k IS NOT NULL),
+bk AS (SELECT item_id, i, k FROM (SELECT item_id, i, unnest({_sql_keys(SQL_MASKS)}) AS k FROM (SELECT item_id, w, unnest(range(1, len(w) + 1)) AS i FROM b)) WHERE k IS NOT NULL),
 hit AS (SELECT DISTINCT doc_id, item_id, dk.i - bk.i AS start FROM dk JOIN bk USING (k)),
 laid AS (SELECT doc_id, item_id, start, len(b.w) AS n, d.w AS dw, b.w AS bw, unnest(range(1, len(b.w) + 1)) AS j FROM hit JOIN d USING (doc_id) JOIN b USING (item_id)),
 sc AS (SELECT doc_id, item_id, start, n, sum(CASE WHEN start + j >= 1 AND dw[start + j] = bw[j] THEN 1 ELSE 0 END)::BIGINT AS m FROM laid GROUP BY doc_id, item_id, start, n),

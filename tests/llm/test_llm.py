@@ -183,6 +183,35 @@ def test_leaks(spark):
     assert spaced.find_leaks(documents(spark, texts), bench.limit(0)).count() == 0
 
 
+def sliding_overlaps(texts, items, least=0.5):
+    """Without masks: each item laid on each place of each text; the best (agreement, -start) of those that count."""
+    out = {}
+    for d, t in enumerate(texts):
+        for k, x in enumerate(items):
+            w, g = t.split(), x.split()
+            best = max((sum(w[s + i] == g[i] for i in range(len(g)) if 0 <= s + i < len(w)), -s) for s in range(-len(g), len(w)))
+            if best[0] >= least * len(g):
+                out[d, k] = best
+    return out
+
+
+def test_leaks_recall_against_sliding(spark):
+    rnd = random.Random(44)
+    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(4))
+    items = [" ".join(word() for _ in range(n)) for n in (9, 10, 11, 13, 14, 15, 16, 17, 18, 20, 25, 31, 38, 47, 59)]
+    texts = []
+    for x in items:
+        g = x.split()
+        for share in (0.5, 0.5, 0.55, 0.6, 0.7):
+            stay = set(rnd.sample(range(len(g)), -(-int(share * 100 * len(g)) // 100)))
+            texts.append(" ".join([word() for _ in range(30)] + [w if i in stay else word() for i, w in enumerate(g)] + [word() for _ in range(30)]))
+    want = sliding_overlaps(texts, items)
+    assert len(want) >= len(texts)
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {(r.doc_id, r.item_id): (r.n_match, -r.start) for r in spaced.find_leaks(documents(spark, texts), bench).collect()}
+    assert {k: got.get(k) for k in want} == want
+
+
 # --- 5 and 10 ------------------------------------------------------------------------------------
 
 
