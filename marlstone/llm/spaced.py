@@ -3,7 +3,10 @@
 A seed is a fixed mask over consecutive tokens; the tokens under its ones are hashed, the others may be
 anything.  The seeds of benchmark items and documents are joined, and around each hit the whole item is
 laid over the document on the hit's diagonal: the share of its tokens that agree is the overlap, so
-substituted tokens cost no more than themselves.
+substituted tokens cost no more than themselves.  Where no diagonal has enough, what agrees on diagonals
+of at most ``SHIFT`` words to either side is added (each token of the item counts once), so inserted and
+dropped words cost no more than themselves; and a stretch of ``RUN`` tokens of the item of which ``RUN_LEAST``
+agree counts whatever the item's length.
 
 The seeds are light: an overlap of half an item of 13 tokens or more is always hit (see ``MASKS``).
 
@@ -28,6 +31,8 @@ MASKS = ("111", "1101", "1011", "11001", "10101", "10011")
 SPAN = 5
 #: What the second engine's statement lays; its texts are unchanged.
 SQL_MASKS = ("110110010111", "111010011011", "101101110011")
+#: Diagonals to either side that are added, and the stretch of an item that is a leak by itself.
+SHIFT, RUN, RUN_LEAST = 4, 20, 16
 #: Seeds of the benchmark that are broadcast at most; beyond, the join shuffles both sides.
 MAX_BROADCAST = 2_000_000
 
@@ -50,10 +55,12 @@ def _placed(df: DataFrame, masks: list[str], *keep: str) -> DataFrame:
 
 
 def find_leaks(docs: DataFrame, items: DataFrame, doc_col: str = "doc_id", item_col: str = "item_id", text_col: str = "text", min_overlap: float = 0.5, max_broadcast: int = MAX_BROADCAST) -> DataFrame:
-    """Rows (document, item, n_match long, item_words long, overlap double, start long) for overlaps of ``min_overlap`` or more.
+    """Rows (document, item, n_match long, item_words long, overlap double, start long) for overlaps of ``min_overlap`` or more, or a stretch.
 
     ``start`` is the token place in the document under the item's first token (negative if the document
     starts inside the item); of several places the one with most agreement, then the first, is given.
+    A place that has the overlap on its own diagonal comes before one that has it with its neighbours
+    (``n_match`` is then their sum), and that before a stretch, whose overlap may be less than ``min_overlap``.
     """
     hashed = lambda c: F.transform(tokens(c), lambda w: F.xxhash64(w))
     bench = items.select(F.col(item_col).alias("item"), hashed(F.col(text_col)).alias("h")).filter(F.size("h") > 0).distinct()
@@ -68,18 +75,29 @@ def find_leaks(docs: DataFrame, items: DataFrame, doc_col: str = "doc_id", item_
     seeds = seeds.toDF("key", "unit", "item_at")
     small = seeds.count() <= max_broadcast
     hold = (lambda d: F.broadcast(d)) if small else (lambda d: d)
-    text = docs.select(F.col(doc_col).alias("doc"), hashed(F.col(text_col)).alias("h"))
+    # part: rows that share an id are laid one by one
+    text = docs.select(F.col(doc_col).alias("doc"), hashed(F.col(text_col)).alias("h")).withColumn("part", F.xxhash64("h"))
     units = bench.select("unit", "item", F.col("h").alias("g"))
     if small:
-        hits = _placed(text, masks, "doc").join(hold(seeds), "key").select("doc", "h", "unit", (F.col("at") - F.col("item_at")).alias("start"))
+        hits = _placed(text, masks, "doc", "part").join(hold(seeds), "key").select("doc", "part", "h", "unit", (F.col("at") - F.col("item_at")).alias("start"))
     else:
-        hits = _placed(text, masks, "doc").select("doc", "at", "key").join(seeds, "key").select("doc", "unit", (F.col("at") - F.col("item_at")).alias("start")).distinct()
-        hits = hits.join(text, hits["doc"].eqNullSafe(text["doc"])).select(hits["doc"], "h", "unit", "start")
+        hits = _placed(text, masks, "doc", "part").select("doc", "part", "at", "key").join(seeds, "key").select("doc", "part", "unit", (F.col("at") - F.col("item_at")).alias("start")).distinct()
+        hits = hits.join(text, hits["doc"].eqNullSafe(text["doc"]) & (hits["part"] == text["part"])).select(hits["doc"], hits["part"], "h", "unit", "start")
     hits = hits.join(hold(units), "unit")
-    agree = F.size(F.filter(F.zip_with(F.col("g"), F.transform(F.sequence(F.lit(0), F.size("g") - 1), lambda i: F.col("start") + i), lambda w, i: F.when(i >= 0, F.get("h", i)) == w), lambda x: F.coalesce(x, F.lit(False))))
-    scored = hits.select("doc", "item", F.col("start").cast("long").alias("start"), agree.cast("long").alias("n_match"), F.size("g").cast("long").alias("item_words"))
-    scored = scored.filter(F.col("n_match") >= min_overlap * F.col("item_words"))
-    best = scored.groupBy("doc", "item").agg(F.max(F.struct((F.col("n_match") / F.col("item_words")).alias("overlap"), (-F.col("start")).alias("back"), "n_match", "item_words")).alias("b"))
+    agree = F.filter(F.sequence(F.lit(0), F.size("g") - 1), lambda i: F.get("h", F.col("start") + i) == F.get("g", i))
+    # the item's places that agree: how many, and those with two more within a seed's span
+    near = lambda a: F.filter(a, lambda x, k: F.coalesce(F.get(a, k + 2) - x < SPAN, F.lit(False)) | F.coalesce(F.get(a, k + 1) - F.get(a, k - 1) < SPAN, F.lit(False)) | F.coalesce(x - F.get(a, k - 2) < SPAN, F.lit(False)))
+    laid = F.transform(F.array(agree), lambda a: F.struct(F.col("start").alias("start"), F.size(a).alias("own"), near(a).alias("near")))[0]
+    laid = hits.select("doc", "part", "unit", "item", F.size("g").alias("words"), laid.alias("d")).groupBy("doc", "part", "unit", "item", "words").agg(F.array_sort(F.collect_set("d")).alias("ds"))
+    # starts differ, so neighbours within SHIFT words are within SHIFT places of the sorted diagonals
+    beside = lambda d, k: F.filter(F.slice("ds", F.greatest(k + 1 - SHIFT, F.lit(1)), F.lit(2 * SHIFT + 1)), lambda e: F.abs(e["start"] - d["start"]) <= SHIFT)
+    both = F.transform("ds", lambda d, k: F.struct(d["start"].alias("start"), d["own"].alias("own"), F.array_sort(F.array_distinct(F.flatten(F.transform(beside(d, k), lambda e: e["near"])))).alias("u")))
+    laid = laid.select("doc", "item", "words", F.explode(both).alias("d")).select("doc", "item", "words", "d.*")
+    run = F.exists(F.transform("u", lambda x, k: F.coalesce(F.get("u", k + (RUN_LEAST - 1)) - x < RUN, F.lit(False))), lambda x: x)
+    enough, summed = min_overlap * F.col("words"), F.greatest("own", F.size("u"))
+    scored = laid.withColumn("kind", F.when(F.col("own") >= enough, 2).when(summed >= enough, 1).when(run, 0)).filter("kind IS NOT NULL")
+    scored = scored.select("doc", "item", "kind", F.when(F.col("kind") < 2, F.col("own")).alias("own"), F.col("start").cast("long").alias("start"), F.when(F.col("kind") == 2, F.col("own")).otherwise(summed).cast("long").alias("n_match"), F.col("words").cast("long").alias("item_words"))
+    best = scored.groupBy("doc", "item").agg(F.max(F.struct("kind", (F.col("n_match") / F.col("item_words")).alias("overlap"), "own", (-F.col("start")).alias("back"), "n_match", "item_words")).alias("b"))
     return best.select(F.col("doc").alias(doc_col), F.col("item").alias(item_col), "b.n_match", "b.item_words", "b.overlap", (-F.col("b.back")).alias("start"))
 
 

@@ -212,6 +212,22 @@ def test_leaks_recall_against_sliding(spark):
     assert {k: got.get(k) for k in want} == want
 
 
+def test_leaks_of_parts_and_shifted_copies(spark):
+    rnd = random.Random(45)
+    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(4))
+    pad = lambda n=30: [word() for _ in range(n)]
+    items = [pad(59), pad(40), pad(40), pad(59)]
+    shifted = [*items[1][:13], word(), *items[1][13:27], word(), *items[1][27:]]
+    dropped = [w for i, w in enumerate(items[2]) if i not in (13, 27)]
+    texts = [pad() + items[0][10:35] + pad(), pad() + shifted + pad(), pad() + dropped + pad(), pad() + items[3][:13] + pad(), pad(90)]
+    bench = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id long, text string")
+    for limit in (spaced.MAX_BROADCAST, 0):
+        got = {(r.doc_id, r.item_id): r for r in spaced.find_leaks(documents(spark, [" ".join(t) for t in texts]), bench, max_broadcast=limit).collect()}
+        assert set(got) == {(0, 0), (1, 1), (2, 2)}
+        assert (got[0, 0].n_match, got[1, 1].n_match, got[2, 2].n_match) == (25, 40, 38)
+        assert got[0, 0].start == 20
+
+
 # --- 5 and 10 ------------------------------------------------------------------------------------
 
 
