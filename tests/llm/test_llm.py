@@ -380,6 +380,14 @@ def test_main_text(spark):
     assert all(r.n_chars == len(r.text) for r in got.values())
 
 
+def test_text_after_open_elements_and_short_articles_stay():
+    assert wrapper.extract('<article><p class="ad">Buy<p>Real 1</p><p>Real 2</p></article>') == "Real 1\nReal 2"
+    assert wrapper.extract('<article><p class="ad"><b>Buy</b> now</p>Tail<ul><li class="ad">Buy<ul><li>this</ul><li>Real</ul><p>End</article>') == "Tail\nReal\nEnd"
+    assert wrapper.extract('<article><ul><li class="ad">Buy</ul><table><tr><td class="ad">Buy<td>Cell<tr class="ad"><td>x<tr><td>Row</table>End</article>') == "Cell\nRow\nEnd"
+    assert wrapper.extract('<article>One<div class="ad">Buy</article><article>Two</article>') == "One\nTwo"
+    assert wrapper.extract(f"<article>{'long ' * 50}</article><article>Short</article>").endswith("\nShort")
+
+
 def test_wrapper_is_union_free():
     one, two = [("<p", "a"), ("<h", "same")], [("<p", "b"), ("<p", "c"), ("<h", "same"), ("<x", "new")]
     w = wrapper.infer(wrapper.infer(None, wrapper.fold(one)), wrapper.fold(two))
