@@ -380,6 +380,19 @@ def test_main_text(spark):
     assert all(r.n_chars == len(r.text) for r in got.values())
 
 
+def test_constants_of_all_pages(spark):
+    site = lambda host, n, title: [(f"http://{host}/{i}", f"<html><head><title>{title(i)}</title></head><body><article><h1>H {host} {i}</h1><p>{f'body {i} ' * 40}</p><h6>Follow us</h6></article></body></html>") for i in range(n)]
+    own = lambda i: f"T{i}"
+    urls = [x for h in range(12) for x in site(f"four{h}", 4, own)] + site("same", 6, lambda i: "Site")
+    pages = spark.createDataFrame([(i, u, h) for i, (u, h) in enumerate(urls)], "page_id long, url string, html string")
+    got = {r.url: r.text for r in wrapper.main_text(pages).collect()}
+    for u, h in urls:
+        if h and "<h1>" in h:
+            assert "Follow us" not in got[u] and "body" in got[u], u
+    alike = spark.createDataFrame([(i, "http://copy/", urls[0][1]) for i in range(9)], pages.schema)
+    assert all("Follow us" in r.text for r in wrapper.main_text(alike).collect())
+
+
 def test_text_after_open_elements_and_short_articles_stay():
     assert wrapper.extract('<article><p class="ad">Buy<p>Real 1</p><p>Real 2</p></article>') == "Real 1\nReal 2"
     assert wrapper.extract('<article><p class="ad"><b>Buy</b> now</p>Tail<ul><li class="ad">Buy<ul><li>this</ul><li>Real</ul><p>End</article>') == "Tail\nReal\nEnd"
