@@ -393,6 +393,19 @@ def test_constants_of_all_pages(spark):
     assert all("Follow us" in r.text for r in wrapper.main_text(alike).collect())
 
 
+def test_constants_of_sections_and_odd_pages(spark):
+    full = lambda host, i, extra="": (f"http://{host}/{i}", f"<title>T{i}</title><article><h1>H {host} {i}</h1><p>{f'body {i} ' * 40}</p>{extra}<h6>Follow us</h6></article>")
+    urls = [full("part", i, "<h4>Live updates</h4>" if i < 5 else "") for i in range(40)] + [full("odd", i) for i in range(6)]
+    urls += [("http://odd/a", None), ("http://odd/b", ""), ("http://odd/c", "<p>Gone</p>"), ("http://odd/d", "<article>Hi<h6>Follow us</h6></article>")]
+    pages = spark.createDataFrame([(i, u, h) for i, (u, h) in enumerate(urls)], "page_id long, url string, html string")
+    got = {r.url: r.text for r in wrapper.main_text(pages).collect()}
+    for u, h in urls:
+        if h and "<h1>" in h:
+            assert "Follow us" not in got[u] and "Live" not in got[u] and "body" in got[u], u
+    # a page that is mostly constants keeps them, and takes them from no other
+    assert (got["http://odd/a"], got["http://odd/c"], got["http://odd/d"]) == ("", "Gone", "Hi\nFollow us")
+
+
 def test_text_after_open_elements_and_short_articles_stay():
     assert wrapper.extract('<article><p class="ad">Buy<p>Real 1</p><p>Real 2</p></article>') == "Real 1\nReal 2"
     assert wrapper.extract('<article><p class="ad"><b>Buy</b> now</p>Tail<ul><li class="ad">Buy<ul><li>this</ul><li>Real</ul><p>End</article>') == "Tail\nReal\nEnd"
