@@ -128,13 +128,24 @@ GOLD = "gold AS (SELECT item_id, doc_id, lang FROM benchmark b, documents d WHER
 
 
 def gold_pairs(spark, sf_dir, width: int = 8) -> DataFrame:
-    """(query, doc, lang): documents that contain an item's whole text, found by its opening words, then verified."""
+    """(query, doc, lang): documents that contain an item's whole text, found by its inner words, then verified.
+
+    An item's first and last word may be parts of a document's words, those between are whole; the first ``width``
+    of them are the key.  Items without inner words are looked for in every document.
+    """
     split = lambda c: F.filter(F.split(c, r"\s+"), lambda w: w != "")
-    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query"), F.col("text").alias("item"), F.xxhash64(F.slice(split(F.col("text")), 1, width)).alias("key"))
-    docs = spread(table(spark, sf_dir, "documents")).select(F.col("doc_id").alias("doc"), "lang", "text", split(F.col("text")).alias("w")).filter(F.size("w") >= width)
-    at = docs.select("doc", "w", F.explode(F.sequence(F.lit(1), F.size("w") - width + 1)).alias("i")).select("doc", F.xxhash64(F.slice("w", F.col("i"), width)).alias("key"))
-    found = at.join(items, "key").select("doc", "query", "item").distinct()
-    return found.join(docs.select("doc", "lang", "text"), "doc").filter(F.contains("text", F.col("item"))).select("query", "doc", "lang")
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query"), F.col("text").alias("item"), split(F.col("text")).alias("w")).filter("item IS NOT NULL")
+    items = items.select("query", "item", F.filter("w", lambda _, i: (i > 0) & (i < F.size("w") - 1) & (i <= width)).alias("inner"))
+    items = items.select("query", "item", F.size("inner").alias("n"), F.xxhash64("inner").alias("key"))
+    # lengths of keys: at most width numbers
+    sizes = sorted(r["n"] for r in items.filter("n > 0").select("n").distinct().collect())
+    docs = spread(table(spark, sf_dir, "documents")).select(F.col("doc_id").alias("doc"), "lang", "text", split(F.col("text")).alias("w"))
+    keys = F.array(*(F.when(F.col("i") + n - 1 <= F.size("w"), F.xxhash64(F.slice("w", F.col("i"), n))) for n in sizes)).cast("array<bigint>")
+    at = docs.filter(F.size("w") > 0).select("doc", "w", F.explode(F.sequence(F.lit(1), F.size("w"))).alias("i")).select("doc", F.explode(keys).alias("key")).filter("key IS NOT NULL")
+    found = at.join(items.filter("n > 0").select("query", "item", "key"), "key").select("doc", "query", "item").distinct()
+    found = found.join(docs.select("doc", "lang", "text"), "doc").filter(F.contains("text", F.col("item"))).select("query", "doc", "lang")
+    brief = docs.select("doc", "lang", "text").join(items.filter("n = 0").select("query", "item"), F.contains("text", F.col("item"))).select("query", "doc", "lang")
+    return found.unionByName(brief)
 
 
 @query("gold_pairs", f"WITH {GOLD} SELECT item_id, doc_id, lang FROM gold")

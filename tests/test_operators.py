@@ -143,3 +143,14 @@ def test_sources(spark, tmp_path):
     assert [r.text for r in tables.whole_files(spark, str(tmp_path / "md")).collect()] == ["x\ny"]
     xml = spark.createDataFrame([("<loc>https://a/b/rental-home</loc><loc>https://a/other</loc>",)], "xml string")
     assert rows(tables.sitemap(xml), "url", "title") == [("https://a/b/rental-home", "Rental Home")]
+
+
+def test_gold_pairs_are_all_that_contain_an_item(spark, tmp_path):
+    from marlstone.plans import retrieval
+
+    items = ["two words", "one", "just three words", "one of seven words in a row", "art of a longer item with more than eight words in i", None]
+    texts = ["has two words", "twotwo wordsy", "one", "adjust three wordsmiths", "x one of seven words in a row.", "part of a longer item with more than eight words in it", "nothing", None, ""]
+    spark.createDataFrame(list(enumerate(items)), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted((r.query, r.doc) for r in retrieval.gold_pairs(spark, str(tmp_path)).collect())
+    assert got == sorted((i, d) for i, x in enumerate(items) for d, t in enumerate(texts) if x is not None and t is not None and x in t)
