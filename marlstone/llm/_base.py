@@ -63,7 +63,11 @@ def written(df: DataFrame, name: str = "t") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def held(df: DataFrame, limit: int = 1_000_000) -> DataFrame:
+#: Rows of a few numbers each that are broadcast at most.
+HELD = 1_000_000
+
+
+def held(df: DataFrame, limit: int = HELD) -> DataFrame:
     """A written table of a few numbers a row, for broadcast if it has ``limit`` rows at most; beyond, as it is, to be joined by a shuffle."""
     return F.broadcast(df) if df.count() <= limit else df
 

@@ -1,14 +1,21 @@
 """Near-duplicates by MinHash with tensored banding, verified on full shingle sets.
 
-Two collections of ``m`` small hashes (each of ``r`` minhashes) give ``m * m`` tables: the key of table
-(i, j) combines hash i of the first collection with hash j of the second, so 2*m*r minhashes do the work
-of m*m*2*r.  Documents with equal sets are one representative.  Keys are exchanged packed (see _base):
-each chunk links the holders of a key to its own smallest and sends one id a key, so a key that a third
-of all documents hold costs one entry a chunk.  Candidate components are then verified in blocks:
-below SMALL members all pairs, above it every member against the best of a few centres, and each member
-that the centre does not reach, as a stated query set, against all members.  No link between different
-texts of a candidate component is lost; with the default 144 tables of 6 minhashes a pair of similarity
-0.8 exactly fails to become a candidate with a chance of 4 in 10,000, one of 0.85 in 45,000.
+Two collections of ``M`` small hashes (each of ``R`` minhashes) give ``M * M`` tables: the key of table
+(i, j) combines hash i of the first collection with hash j of the second, so 2*M*R minhashes do the work
+of M*M*2*R.  Documents with equal sets are one representative.  Keys are exchanged packed (see _base).
+
+A key that ``GROUP`` documents or fewer share gives all its pairs; one that more share gives a star, and
+its holders meet again under ``DEEP`` longer keys, pairs of six-minhash hashes made of the same minhashes,
+which split families that only share a template.  A chunk with more than GROUP holders of a key sends
+its smallest alone, so a key that a third of all documents hold costs one entry a chunk.
+
+A pair must agree in ``LEAST`` of the 2*M*R minhashes; then full sets decide, and only links that they
+confirm join documents: (a) stars, (b) the other pairs whose ends the stars have not joined, (c) of families
+that still share a longer key with more than GROUP documents, every member outside the family's largest
+part, as a stated query set in blocks, against all members of the family, by minhashes of a byte each.
+No link of a pair that shares a key is lost for want of a partner.  With the default 144 tables of 6 minhashes a
+pair of similarity 0.8 exactly shares no key with a chance of 4 in 10,000, none of the longer ones of its
+family with 2 in 1,000; it agrees in too few minhashes with 1 in 10,000.
 
 Defined results: a null or empty text has no shingles and links with nothing; a null id keeps its row
 with a null component; rows that share an id are one document, whose links are those of all its texts.
@@ -28,8 +35,11 @@ from pyspark.sql import functions as F
 
 from marlstone.llm import _base as B
 
-M, R, SMALL, BLOCK, CENTRES = 12, 3, 64, 128, 8
-MATCHES = 4  # of the 2*M small hashes that a candidate pair must share; at 0.8 a pair has 12 on average
+M, R = 12, 3
+N = 2 * M * R  # minhashes of a document; at 0.8 a pair agrees in 57.6 of them on average
+LEAST = 44
+GROUP, BLOCK, WIDE = 16, 128, 4096  # documents of a key that are paired; texts and sketches of a block
+DEEP, HALF = 360, 60  # longer keys, and the six-minhash hashes of each half that they pair
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -75,7 +85,7 @@ def _seeds(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 def _signatures(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mul, add = _seeds(2 * M * R)
+        mul, add = _seeds(N)
         for batch in batches:
             sets = [shingles(t, width) for t in batch.column(1).to_pylist()]
             full = [s for s in sets if len(s)]
@@ -83,10 +93,11 @@ def _signatures(width: int):
             subs = iter(())
             if full:
                 joined, starts = np.concatenate(full), np.cumsum([0, *map(len, full[:-1])])
-                small = np.zeros((len(full), 2 * M), np.uint64)
-                for k in range(2 * M * R):
-                    small[:, k // R] = mix(small[:, k // R] * _MIX + np.minimum.reduceat(mix(joined * mul[k] + add[k]) if k % R == 0 else joined * mul[k] ^ (joined >> np.uint64(17)), starts))
-                subs = iter(small)
+                least = np.zeros((len(full), N), np.uint32)
+                for k in range(N):
+                    h = mix(joined * mul[k] + add[k]) if k % R == 0 else joined * mul[k] ^ (joined >> np.uint64(17))
+                    least[:, k] = (mix(np.minimum.reduceat(h, starts)) >> np.uint64(32)).astype(np.uint32)
+                subs = iter(least)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(digests, pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array([next(subs).tobytes() if len(s) else b"" for s in sets], pa.binary())],
                 names=["id", "digest", "n", "sub"],
@@ -95,32 +106,63 @@ def _signatures(width: int):
     return run
 
 
-def _star(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct keys, the smallest id of each, and the distinct (smallest, other) pairs."""
-    order = np.lexsort((ids, keys))
-    keys, ids = keys[order], ids[order]
-    first = np.r_[True, keys[1:] != keys[:-1]] if len(keys) else np.zeros(0, bool)
-    lead = ids[first][np.cumsum(first) - 1]
-    pairs = np.stack([lead, ids], 1)[lead != ids]
-    return keys[first], ids[first], np.unique(pairs, axis=0)
+def _folded(least: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """A hash of the minhashes at each row of places."""
+    out = np.zeros((len(least), len(places)), np.uint64)
+    for k in range(places.shape[1]):
+        out = mix(out * _MIX + least[:, places[:, k]])
+    return out
 
 
-def _table_keys(subs: np.ndarray) -> np.ndarray:
+def _table_keys(least: np.ndarray) -> np.ndarray:
     """All keys (u_i, v_j) of each row."""
-    u, v = subs[:, :M], subs[:, M:]
+    small = _folded(least, np.arange(N).reshape(2 * M, R))
+    u, v = small[:, :M], small[:, M:]
     tag = np.arange(M * M, dtype=np.uint64).reshape(1, M, M) * _MIX
-    return mix(mix(u[:, :, None] + tag) ^ v[:, None, :] * _MIX)
+    return mix(mix(u[:, :, None] + tag) ^ v[:, None, :] * _MIX).reshape(len(least), -1)
 
 
-def _publish(n_buckets: int, limit: int = 4096):
+def _deep_keys(least: np.ndarray) -> np.ndarray:
+    """The longer keys: pairs of six-minhash hashes, one of each half."""
+    rnd = np.random.default_rng(7)  # part of the rule, as the seeds are
+    halves = [np.stack([rnd.permutation(N // 2)[:6] for _ in range(HALF)]) + k * (N // 2) for k in (0, 1)]
+    of = [np.concatenate([rnd.permutation(HALF) for _ in range(DEEP // HALF)]) for _ in halves]
+    u, v = (_folded(least, h)[:, o] for h, o in zip(halves, of, strict=True))
+    return mix(mix(u + np.arange(DEEP, dtype=np.uint64) * _MIX) ^ v * _MIX)
+
+
+def _groups(keys: np.ndarray, ids: np.ndarray, many: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Sorted by (key, id) without repeats: ids, flags, and start and size of each key's group."""
+    order = np.lexsort((~many, ids, keys))
+    keys, ids, many = keys[order], ids[order], many[order]
+    new = np.r_[True, (keys[1:] != keys[:-1]) | (ids[1:] != ids[:-1])] if len(keys) else np.zeros(0, bool)
+    keys, ids, many = keys[new], ids[new], many[new]
+    start = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, np.int64)
+    return keys, ids, many, start, np.diff(np.r_[start, len(keys)])
+
+
+def _stars(ids: np.ndarray, start: np.ndarray, size: np.ndarray, pick: np.ndarray) -> np.ndarray:
+    """Distinct (smallest, other) pairs of the picked groups."""
+    own = np.repeat(pick, size)
+    lead = np.repeat(ids[start], size)[own]
+    return np.unique(np.stack([lead, ids[own]], 1)[lead != ids[own]], axis=0)
+
+
+def _publish(n_buckets: int, keys_of, limit: int = 4096):
     def rows(ids: list, subs: list) -> pa.RecordBatch:
-        k = _table_keys(np.frombuffer(b"".join(subs), np.uint64).reshape(len(subs), 2 * M))
-        keys, lead, pairs = _star(k.reshape(-1), np.repeat(np.array(ids, np.int64), M * M))
+        k = keys_of(np.frombuffer(b"".join(subs), np.uint32).reshape(len(subs), N))
+        own = np.repeat(np.array(ids, np.int64), k.shape[1])
+        keys, own, many, start, size = _groups(k.reshape(-1), own, np.zeros(len(own), bool))
+        pairs = _stars(own, start, size, size > GROUP)
+        many = np.repeat(size > GROUP, size)
+        stay = ~many
+        stay[start] = True
+        keys, own, many = keys[stay], own[stay], many[stay]
         at = keys % np.uint64(n_buckets)
         out = []
         for b in np.unique(at):
-            own = at == b
-            out.append((int(b), B.pack_sorted(keys[own]), B.pack(lead[own], 1), b""))
+            here = at == b
+            out.append((int(b), B.pack_sorted(keys[here]), B.pack((own[here], np.packbits(many[here])), 1), b""))
         out[0] = (*out[0][:3], B.pack(pairs, 1))
         return pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), *(pa.array([x[i] for x in out], pa.binary()) for i in (1, 2, 3))], names=["bucket", "keys", "ids", "pairs"])
 
@@ -140,97 +182,154 @@ def _publish(n_buckets: int, limit: int = 4096):
     return run
 
 
+STAR, PAIR, LARGE = 0, 1, 2
+
+
 def _meet(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    keys, ids, pairs = [], [], []
+    """Of a bucket's keys: the stars and other pairs of groups of GROUP at most, and the stars of larger ones."""
+    keys, ids, many, out = [], [], [], {STAR: [], PAIR: [], LARGE: []}
     for row in B.flat(batches):
         keys.append(B.unpack_sorted(row["keys"]))
-        ids.append(B.unpack(row["ids"]))
+        own, bits = B.unpack(row["ids"])
+        ids.append(own)
+        many.append(np.unpackbits(bits, count=len(own)).astype(bool))
         if row["pairs"]:
-            pairs.append(B.unpack(row["pairs"]))
-    pairs.append(_star(np.concatenate(keys), np.concatenate(ids))[2])
-    p = np.unique(np.concatenate(pairs), axis=0)
-    del keys, ids, pairs
+            out[LARGE].append(B.unpack(row["pairs"]))
+    _, ids, many, start, size = _groups(np.concatenate(keys), np.concatenate(ids), np.concatenate(many))
+    del keys
     B.trim()
-    for i in range(0, len(p), 10_000):
-        yield pa.RecordBatch.from_arrays([pa.array(p[i : i + 10_000, 0]), pa.array(p[i : i + 10_000, 1])], names=["a", "b"])
+    large = size > GROUP
+    large[np.repeat(np.arange(len(size)), size)[many]] = True
+    out[LARGE].append(_stars(ids, start, size, large))
+    for g in range(2, GROUP + 1):
+        at = start[(size == g) & ~large]
+        for i in range(g - 1):
+            for j in range(i + 1, g):
+                out[PAIR if i else STAR].append(np.stack([ids[at + i], ids[at + j]], 1))
+    for kind, found in out.items():
+        p = np.unique(np.concatenate([np.zeros((0, 2), np.int64), *found]), axis=0)
+        for i in range(0, len(p), 10_000):
+            own = p[i : i + 10_000]
+            yield pa.RecordBatch.from_arrays([pa.array(own[:, 0]), pa.array(own[:, 1]), pa.array(np.full(len(own), kind, np.int32))], names=["a", "b", "kind"])
+
+
+def _near(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Of rows of sketches, those that agree in LEAST places."""
+    return (x == y).sum(1) >= LEAST
+
+
+def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of (a, b, kind, sketch of a, sketch of b), the pairs that are near."""
+    for batch in batches:
+        x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, N) for i in (3, 4))
+        keep = pa.array(_near(x, y))
+        yield pa.RecordBatch.from_arrays([batch.column(i).filter(keep) for i in range(3)], names=["a", "b", "kind"])
 
 
-def _close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of (a, b, sub of a, sub of b), the pairs that share MATCHES small hashes."""
+def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A byte of each minhash."""
     for batch in batches:
-        x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint64).reshape(-1, 2 * M) for i in (2, 3))
-        keep = pa.array((x == y).sum(1) >= MATCHES)
-        yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
+        x = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint32).astype(np.uint8).reshape(-1, N)
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in x], pa.binary()), batch.column(2)], names=["id", "sketch", "n"])
 
 
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of (a, b) as (id, component: the smallest id), by alternating large and small stars.
 
-    Each round is written to the shared folder; a hot vertex is reduced by partial minimums and its join
-    rows can be split.  The driver sees two numbers a round.
+    Each round is written to the shared folder.  A vertex with many neighbours is reduced by partial minimums;
+    what the large star's minimums are joined to is not aggregated in the same stage, so a hot vertex's rows can
+    be split.  The driver sees two numbers a round.
     """
     e = B.written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
-    before = None
     while True:
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        low = large.groupBy(F.col("u").alias("w")).agg(F.min("v").alias("m"))
-        small = large.join(low, large["u"] == low["w"]).select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
-        small = small.unionByName(low.select(F.col("w").alias("u"), F.col("m").alias("v"))).filter("u <> v").distinct()
-        e = B.written(small)
-        now = tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if now == before:
-            break
-        before = now
+        low = B.written(e.groupBy(F.col("u").alias("w")).agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")))
+        size, most = low.agg(F.count(F.lit(1)), F.max("n")).first()
+        low = F.broadcast(low) if size <= B.HELD else low
+        if not size or most == 1 and not e.join(low, e["v"] == low["w"], "left_semi").take(1):
+            break  # nothing hangs on two, and nothing on what hangs
+        # large star: what hangs on v moves to the smallest that v has
+        moved = B.written(e.join(low, e["v"] == low["w"], "left").select("u", F.coalesce("m", "v").alias("v")).distinct())
+        # small star: u and its smaller neighbours move to the smallest of them
+        low = moved.groupBy(F.col("u").alias("w")).agg(F.min("v").alias("m"))
+        small = moved.join(low, moved["u"] == low["w"]).select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
+        e = B.written(small.unionByName(low.select(F.col("w").alias("u"), F.col("m").alias("v"))).filter("u <> v").distinct())
     return e.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
 
 
-def _verify(width: int, percent: int):
-    """Within a group's components, a spanning set of the links between queries and members."""
-
-    def links(rows: list[tuple]) -> list[tuple]:
-        sets = {}
-        for i, _, _, text in rows:
-            s = frozenset(shingles(text, width).tolist())
-            sets.setdefault(i, []).append(s)
-        root = {i: i for i in sets}
+def _linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    small, large = sorted((x, y), key=len)
+    if not len(small) or 100 * len(small) < percent * len(large):
+        return False
+    both = int((large[np.minimum(np.searchsorted(large, small), len(large) - 1)] == small).sum())
+    return 100 * both >= percent * (len(small) + len(large) - both)
 
-        def find(i):
-            while root[i] != i:
-                root[i] = root[root[i]]
-                i = root[i]
-            return i
 
-        out = []
-        targets = sorted({r[0] for r in rows if r[2]})
-        for q in sorted({r[0] for r in rows if r[1]}):
-            for t in targets:
-                if (a := find(q)) != (b := find(t)) and any(_linked(x, y, percent) for x in sets[q] for y in sets[t]):
-                    root[max(a, b)] = min(a, b)
-                    out.append((min(q, t), max(q, t)))
-        return out
+def _check(width: int, percent: int):
+    """Of rows (z: block of a lead, id, lead boolean, text), the members linked to their lead."""
 
     def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        groups: dict = {}
+        leads, members = {}, {}
         for batch in batches:
-            cols = [batch.column(c).to_pylist() for c in ("z", "id", "q", "t", "text")]
-            for z, *row in zip(*cols, strict=True):
-                groups.setdefault(z, []).append(row)
-        out = [(z, *x) for z, rows in groups.items() for x in links(rows)]
-        groups.clear()
+            for z, i, lead, text in zip(*(batch.column(c).to_pylist() for c in ("z", "id", "lead", "text")), strict=True):
+                (leads if lead else members).setdefault(z, []).append((i, text))
+        out = set()
+        for z, own in members.items():
+            to = [(i, shingles(t, width)) for i, t in leads[z]]
+            for i, text in own:
+                s = shingles(text, width)
+                out |= {(lead, i) for lead, x in to if _linked(x, s, percent)}
+        leads.clear(), members.clear()
         B.trim()
-        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in range(3)], names=["z", "a", "b"])
+        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in range(2)], names=["a", "b"])
 
     return run
 
 
-def _linked(x: frozenset, y: frozenset, percent: int) -> bool:
-    small, large = sorted((len(x), len(y)))
-    if not small or 100 * small < percent * large:
-        return False
-    both = len(x & y)
-    return 100 * both >= percent * (small + large - both)
+def _confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int, name: str) -> DataFrame:
+    """Of a written table of pairs (a, b), those that are linked, written; a lead of many pairs is dealt into blocks."""
+    n = B.buckets(pairs.sparkSession)
+    hot = B.held(B.written(pairs.groupBy("a").agg(F.count(F.lit(1)).alias("many")).filter(F.col("many") > BLOCK), "hot"))
+    block = F.pmod(F.xxhash64("b"), F.ceil(F.coalesce("many", F.lit(1)) / BLOCK))
+    dealt = pairs.join(hot, "a", "left").select("a", "b", F.xxhash64("a", block).alias("z"))
+    member = dealt.join(docs, dealt["b"] == docs["id"]).select("z", "id", F.lit(False).alias("lead"), "text")
+    lead = dealt.select("a", "z").distinct().join(docs, F.col("a") == docs["id"]).select("z", "id", F.lit(True).alias("lead"), "text")
+    rows = member.unionByName(lead).select(F.pmod("z", F.lit(8 * n)).alias("g"), "z", "id", "lead", "text")
+    return B.written(rows.groupBy("g").applyInArrow(_check(width, percent), "a long, b long"), name)
+
+
+def _families(edges: DataFrame, parts: DataFrame, sketch: DataFrame) -> DataFrame:
+    """Near pairs (a, b) of different parts in families: each member outside its family's largest part against all members."""
+    member = components(edges).toDF("id", "z").join(parts, "id", "left").select("z", "id", F.coalesce("component", "id").alias("part"))
+    member = B.written(member, "families")
+    largest = member.groupBy("z", "part").agg(F.count(F.lit(1)).alias("n")).groupBy("z").agg(F.max(F.struct("n", "part"))["part"].alias("main"), F.sum("n").alias("size"))
+    member = B.written(member.join(B.held(B.written(largest)), "z").join(sketch, "id").select("z", "id", "part", "main", "size", "sketch"), "members")
+    asked = member.filter("part <> main")
+    n_asked = B.held(B.written(asked.groupBy("z").agg(F.ceil(F.count(F.lit(1)) / WIDE).alias("nq"))))
+    slot = lambda n, seed: F.pmod(F.xxhash64("id", F.lit(seed)), n)
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
+    blocks = F.ceil(F.col("size") / WIDE)
+    left = asked.join(n_asked, "z").select("z", "id", "part", "sketch", slot(F.col("nq"), 3).alias("qb"), every(blocks).alias("mb"), F.lit(True).alias("q"))
+    right = member.join(n_asked, "z").select("z", "id", "part", "sketch", every(F.col("nq")).alias("qb"), slot(blocks, 5).alias("mb"), F.lit(False).alias("q"))
+
+    def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, part, q, x = [], [], [], []
+        for batch in batches:
+            for held, c in ((ids, "id"), (part, "part"), (q, "q")):
+                held.append(batch.column(c).to_numpy(zero_copy_only=False))
+            x.append(np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint8).reshape(-1, N))
+        ids, part, q, x = (np.concatenate(c) for c in (ids, part, q, x))
+        at, mem = np.flatnonzero(q), np.flatnonzero(~q)
+        cols = np.ascontiguousarray(x[mem].T)
+        for i in at:
+            agree = np.zeros(len(mem), np.uint8)
+            for k in range(N):
+                agree += cols[k] == x[i, k]
+            own = mem[(agree >= LEAST) & (part[mem] != part[i])]
+            if len(own):
+                a, b = np.minimum(ids[own], ids[i]), np.maximum(ids[own], ids[i])
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    return left.unionByName(right).groupBy("z", "qb", "mb").applyInArrow(run, "a long, b long").distinct()
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
@@ -239,45 +338,42 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     n = B.buckets(spark)
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     sig = B.written(docs.mapInArrow(_signatures(width), "id long, digest binary, n long, sub binary"), "sig")
-    rep = sig.filter("n > 0 AND id IS NOT NULL").groupBy("digest").agg(F.min(F.struct("id", "sub")).alias("r"))
-    rep = B.written(rep.select("digest", "r.id", "r.sub"), "rep")
-    subs = rep.select("id", "sub")
-    sent = subs.mapInArrow(_publish(n), "bucket int, keys binary, ids binary, pairs binary")
-    pairs = sent.groupBy("bucket").applyInArrow(_meet, "a long, b long").distinct()
-    pairs = pairs.join(subs.toDF("a", "x"), "a").join(subs.toDF("b", "y"), "b").select("a", "b", "x", "y")
-    coarse = components(pairs.mapInArrow(_close, "a long, b long")).toDF("id", "z")
-    size = coarse.groupBy("z").agg(F.count(F.lit(1)).alias("size"))
-    member = B.held(B.written(coarse.join(size, "z").select("z", "id", "size"), "ids")).join(docs.filter("id IS NOT NULL"), "id").select("z", "id", "size", "text")
-    member = B.written(member, "member")
-    check, kind = _verify(width, percent), "z long, a long, b long"
-    block = F.pmod(F.xxhash64("id"), F.ceil(F.col("size") / BLOCK))
-    yes, no = F.lit(True), F.lit(False)
-    # small components: all pairs, many components to a group
-    small = member.filter(F.col("size") <= SMALL).select(F.pmod(F.xxhash64("z"), F.lit(8 * n)).alias("g"), "z", "id", yes.alias("q"), yes.alias("t"), "text")
-    found = small.groupBy("g").applyInArrow(check, kind)
-    # large ones: every member against a few centres, in blocks
-    large = member.filter(F.col("size") > SMALL)
-    ids = large.select("z", "id", "size")
-    slot = F.pmod(F.xxhash64("id"), F.lit(CENTRES))
-    centre = ids.groupBy("z", slot.alias("slot")).agg(F.min_by("id", F.xxhash64("id", F.lit(7))).alias("id"), F.first("size").alias("size")).select("z", "id", "size")
-    centre = centre.unionByName(ids.groupBy("z").agg(F.min("id").alias("id"), F.first("size").alias("size"))).distinct()
-    hub = centre.join(large.select("z", "id", "text"), ["z", "id"])
-    every = F.explode(F.sequence(F.lit(0), F.ceil(F.col("size") / BLOCK) - 1))
-    members = large.select("z", "id", block.alias("mb"), no.alias("q"), yes.alias("t"), "text")
-    by_centre = hub.select("z", F.col("id").alias("c"), every.alias("mb"), "text").select("z", "c", "mb", "text")
-    left = members.join(by_centre.select("z", "mb", "c"), ["z", "mb"]).select(F.xxhash64("z", "mb", "c").alias("g"), "z", "id", "q", "t", "text")
-    right = by_centre.select(F.xxhash64("z", "mb", "c").alias("g"), "z", F.col("c").alias("id"), yes.alias("q"), no.alias("t"), "text")
-    star = B.written(left.unionByName(right).groupBy("g").applyInArrow(check, kind).join(centre.select("z", F.col("id").alias("c")), "z").filter("a = c OR b = c").select("z", "c", F.when(F.col("a") == F.col("c"), F.col("b")).otherwise(F.col("a")).alias("id")), "star")
-    best = star.groupBy("z", "c").agg(F.count(F.lit(1)).alias("k")).groupBy("z").agg(F.max_by("c", F.struct("k", "c")).alias("c"))
-    reached = star.join(best, ["z", "c"]).select("z", "id").unionByName(best.select("z", F.col("c").alias("id"))).distinct()
-    # and each member that the best centre did not reach against all
-    rest = large.join(reached, ["z", "id"], "left_anti")
-    n_rest = rest.groupBy("z").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("nq"))
-    left = members.join(n_rest, "z").select("z", "id", "mb", "q", "t", "text", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nq") - 1)).alias("qb"))
-    right = rest.join(n_rest, "z").select("z", "id", every.alias("mb"), yes.alias("q"), no.alias("t"), "text", F.pmod(F.xxhash64("id", F.lit(3)), F.col("nq")).alias("qb"))
-    tried = left.unionByName(right).select(F.xxhash64("z", "mb", "qb").alias("g"), "z", "id", "q", "t", "text").groupBy("g").applyInArrow(check, kind)
-    links = found.unionByName(tried).select("a", "b").unionByName(star.select(F.col("c").alias("a"), F.col("id").alias("b")))
-    whole = components(links)
+    rep = sig.filter("n > 0 AND id IS NOT NULL").groupBy("digest").agg(F.min(F.struct("id", "n", "sub")).alias("r"))
+    rep = B.written(rep.select("digest", "r.*"), "rep")
+    texts = docs.filter("id IS NOT NULL")
+    sketch = rep.select("id", "sub", "n").mapInArrow(_sketches, "id long, sketch binary, n long")
+
+    def met(subs: DataFrame, keys_of, name: str) -> DataFrame:
+        sent = subs.mapInArrow(_publish(n, keys_of), "bucket int, keys binary, ids binary, pairs binary")
+        pairs = sent.groupBy("bucket").applyInArrow(_meet, "a long, b long, kind int")
+        return B.written(pairs.groupBy("a", "b").agg(F.min("kind").alias("kind"), F.max("kind").alias("most")), name)
+
+    def near(pairs: DataFrame) -> DataFrame:
+        x = sketch.select(F.col("id").alias("a"), F.col("sketch").alias("x"), F.col("n").alias("nx"))
+        y = sketch.select(F.col("id").alias("b"), F.col("sketch").alias("y"), F.col("n").alias("ny"))
+        both = pairs.join(x, "a").join(y, "b").filter(100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny"))
+        return both.select("a", "b", "kind", "x", "y").mapInArrow(_alike, "a long, b long, kind int")
+
+    first = met(rep.select("id", "sub"), _table_keys, "pairs")
+    large = first.filter(F.col("most") == LARGE)
+    crowd = B.held(B.written(large.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "crowd"))
+    second = met(B.written(rep.select("id", "sub").join(crowd, "id"), "deep"), _deep_keys, "deep_pairs")
+    pairs = first.unionByName(second).groupBy("a", "b").agg(F.min("kind").alias("kind"))
+    pairs = B.written(near(pairs).groupBy("a", "b").agg(F.min("kind").alias("kind")), "near")
+    # (a) stars; (b) other pairs of parts that the stars did not join; (c) families that no key splits
+    links = _confirmed(pairs.filter(F.col("kind") != PAIR).select("a", "b"), texts, width, percent, "stars")
+    parts = B.written(components(links), "parts")
+    label = lambda c: parts.select(F.col("id").alias(c), F.col("component").alias(f"part_{c}"))
+    other = pairs.filter(F.col("kind") == PAIR).join(label("a"), "a", "left").join(label("b"), "b", "left").filter(F.coalesce("part_a", "a") != F.coalesce("part_b", "b"))
+    other = other.select("a", "b")
+    crowded = B.written(second.filter(F.col("most") == LARGE).select("a", "b"), "crowded")
+    if crowded.take(1):
+        other = other.unionByName(_families(crowded, parts, sketch)).distinct()
+    other = B.written(other, "others")
+    whole = parts
+    if other.take(1):
+        more = _confirmed(other, texts, width, percent, "more")
+        whole = components(more.unionByName(parts.toDF("a", "b"))) if more.take(1) else parts
     out = sig.select("id", "digest", "n").join(rep.select("digest", F.col("id").alias("rep")), "digest", "left").join(whole.toDF("rep", "component"), "rep", "left")
     component = F.when(F.col("n") > 0, F.coalesce("component", "rep")).otherwise(F.col("id"))
     out = out.select("id", F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), component).alias("component_id"))

@@ -7,6 +7,7 @@ import random
 import struct
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers as P
 import pytest
 import tiktoken
@@ -350,6 +351,58 @@ def test_near_duplicates(spark, width):
     assert minhash.near_duplicates(documents(spark, texts).limit(0)).count() == 0
 
 
+def test_families_of_a_template_lose_no_link(spark):
+    rnd = random.Random(77)
+    word = lambda n: [f"w{rnd.randrange(10**9)}" for _ in range(n)]
+    texts = []
+    for n, shared, own in ((300, 165, 35), (300, 121, 80)):  # shingle similarity 0.7 and 0.43: more than GROUP share a longer key, or only a short one
+        template = word(shared)
+        family = [template + word(own) for _ in range(n)]
+        for k in range(8):
+            d = list(family[k * 30])
+            d[-5] = d[-20] = f"edit{k}"
+            family.append(d)
+        texts += family
+    rnd.shuffle(texts)
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    got = minhash.near_duplicates(documents(spark, [t for _, t in rows]), width=2).collect()
+    want = brute_components(rows, 2, 80)
+    assert sum(i != c for i, _, c in want) >= 16
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == sorted(want)
+
+
+def test_links_of_members_that_the_smallest_rejects(spark):
+    """Smaller documents hold all keys of a pair, each overlapping it too little to be linked; the pair stays linked."""
+    rnd = random.Random(78)
+    word = lambda n: [f"w{rnd.randrange(10**9)}" for _ in range(n)]
+    texts, pairs = [], []
+    for _ in range(4):
+        a = word(200)
+        b = [f"x{w}" if i in (20, 60, 100, 140, 180, 30, 90, 150, 75) else w for i, w in enumerate(a)]
+        pairs += [a, b]
+        for _ in range(400):
+            s = rnd.randrange(120)
+            texts.append(rnd.choice((a, b))[s : s + 80] + word(120))
+    texts = [" ".join(t) for t in texts + pairs]
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(documents(spark, texts).repartition(4), width=2).filter("NOT kept").collect()}
+    assert got == {1600 + 2 * k + 1: 1600 + 2 * k for k in range(4)}
+
+
+def test_key_groups_of_chunks():
+    """What a chunk reduces and a bucket meets again gives every pair of small groups, and stars that connect large ones."""
+    rnd = np.random.default_rng(9)
+    least = rnd.integers(0, 2**32, (60, minhash.N), dtype=np.uint32)
+    least[:30] = least[0]
+    least[30:33] = least[30]
+    least[33] = least[34]
+    subs = pa.array([r.tobytes() for r in least], pa.binary())
+    halves = [(np.r_[0:20, 30, 33, 35:60], 4096), (np.r_[20:30, 31, 32, 34], 4096)]
+    sent = [row for own, limit in halves for b in minhash._publish(1, minhash._table_keys, limit)([pa.RecordBatch.from_arrays([pa.array(own), subs.take(pa.array(own))], names=["id", "sub"])]) for row in b.to_pylist()]
+    out = {tuple(x.values()) for b in minhash._meet((pa.scalar(0),), [pa.RecordBatch.from_pylist(sent)]) for x in b.to_pylist()}
+    assert {x for x in out if x[2] != minhash.LARGE} == {(30, 31, 0), (30, 32, 0), (31, 32, 1), (33, 34, 0)}
+    assert {x[:2] for x in out if x[2] == minhash.LARGE} == {(0, i) for i in range(1, 30)}
+
+
 def test_components_of_a_long_path(spark):
     n = 300
     e = spark.createDataFrame([(i, (i * 7 + 7) % n) for i in range(0, 0)] + [(i, i + 1) for i in range(n)] + [(1000, 1001), (1001, 1000)], "a long, b long")
