@@ -12,7 +12,8 @@ its smallest alone, so a key that a third of all documents hold costs one entry
 A pair must agree in ``LEAST`` of the 2*M*R minhashes; then full sets decide, and only links that they
 confirm join documents: (a) stars, (b) the other pairs whose ends the stars have not joined, (c) of families
 that still share a longer key with more than GROUP documents, every member outside the family's largest
-part, as a stated query set in blocks, against all members of the family, by minhashes of a byte each.
+part, as a stated query set in blocks, against all members of the family, by minhashes of a byte each and then,
+where these are near, by full sets in the block.
 No link of a pair that shares a key is lost for want of a partner.  With the default 144 tables of 6 minhashes a
 pair of similarity 0.8 exactly shares no key with a chance of 4 in 10,000, none of the longer ones of its
 family with 2 in 1,000; it agrees in too few minhashes with 1 in 10,000.
@@ -38,7 +39,7 @@ from marlstone.llm import _base as B
 M, R = 12, 3
 N = 2 * M * R  # minhashes of a document; at 0.8 a pair agrees in 57.6 of them on average
 LEAST = 44
-GROUP, BLOCK, WIDE = 16, 128, 4096  # documents of a key that are paired; texts and sketches of a block
+GROUP, BLOCK, WIDE, ASKED = 16, 128, 512, 256  # documents of a key that are paired; members of a lead, sketches and asked texts of a block
 DEEP, HALF = 360, 60  # longer keys, and the six-minhash hashes of each half that they pair
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -297,8 +298,8 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int, name
     return B.written(rows.groupBy("g").applyInArrow(_check(width, percent), "a long, b long"), name)
 
 
-def _families(edges: DataFrame, parts: DataFrame, sketch: DataFrame) -> DataFrame:
-    """Near pairs (a, b) of different parts in families: each member outside its family's largest part against all members."""
+def _families(edges: DataFrame, parts: DataFrame, sketch: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links (a, b) of different parts in families: each member outside its family's largest part against all members."""
     member = components(edges).toDF("id", "z").join(parts, "id", "left").select("z", "id", F.coalesce("component", "id").alias("part"))
     member = B.written(member, "families")
     largest = member.groupBy("z", "part").agg(F.count(F.lit(1)).alias("n")).groupBy("z").agg(F.max(F.struct("n", "part"))["part"].alias("main"), F.sum("n").alias("size"))
@@ -311,25 +312,58 @@ def _families(edges: DataFrame, parts: DataFrame, sketch: DataFrame) -> DataFram
     left = asked.join(n_asked, "z").select("z", "id", "part", "sketch", slot(F.col("nq"), 3).alias("qb"), every(blocks).alias("mb"), F.lit(True).alias("q"))
     right = member.join(n_asked, "z").select("z", "id", "part", "sketch", every(F.col("nq")).alias("qb"), slot(blocks, 5).alias("mb"), F.lit(False).alias("q"))
 
-    def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, part, q, x = [], [], [], []
+    def near(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows (block, id, part, asked, near) of at most ASKED asked documents and the members near one of them; near has a bit for each asked."""
+        held, x = [[], [], []], []
         for batch in batches:
-            for held, c in ((ids, "id"), (part, "part"), (q, "q")):
-                held.append(batch.column(c).to_numpy(zero_copy_only=False))
+            for own, c in zip(held, ("id", "part", "q"), strict=True):
+                own.append(batch.column(c).to_numpy(zero_copy_only=False))
             x.append(np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint8).reshape(-1, N))
-        ids, part, q, x = (np.concatenate(c) for c in (ids, part, q, x))
+        ids, part, q, x = *(np.concatenate(own) for own in held), np.concatenate(x)
         at, mem = np.flatnonzero(q), np.flatnonzero(~q)
         cols = np.ascontiguousarray(x[mem].T)
-        for i in at:
-            agree = np.zeros(len(mem), np.uint8)
-            for k in range(N):
-                agree += cols[k] == x[i, k]
-            own = mem[(agree >= LEAST) & (part[mem] != part[i])]
-            if len(own):
-                a, b = np.minimum(ids[own], ids[i]), np.maximum(ids[own], ids[i])
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+        for s in range(0, len(at), ASKED):
+            own = at[s : s + ASKED]
+            bits = np.zeros((len(mem), ASKED), bool)
+            for j, i in enumerate(own):
+                agree = np.zeros(len(mem), np.uint8)
+                for k in range(N):
+                    agree += cols[k] == x[i, k]
+                bits[:, j] = (agree >= LEAST) & (part[mem] != part[i])
+            some, used = np.flatnonzero(bits.any(1)), np.flatnonzero(bits.any(0))
+            packed = np.packbits(bits[some], axis=1)
+            rows = np.r_[own[used], mem[some]]
+            block = ":".join(str(k.as_py()) for k in key) + f":{s}"
+            told = [int(j).to_bytes(2, "big") for j in used] + [r.tobytes() for r in packed]
+            yield pa.RecordBatch.from_arrays([pa.array([block] * len(rows), pa.string()), pa.array(ids[rows]), pa.array(part[rows]), pa.array(q[rows]), pa.array(told, pa.binary())], names=["block", "id", "part", "q", "near"])
+
+    def links(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked, members, root, out = {}, [], {}, []
+        for batch in batches:
+            for i, p, q, told, text in zip(*(batch.column(c).to_pylist() for c in ("id", "part", "q", "near", "text")), strict=True):
+                if q:
+                    asked.setdefault(int.from_bytes(told, "big"), []).append((i, p, shingles(text, width)))
+                else:
+                    members.append((i, p, told, text))
+
+        def find(p):
+            while root.get(p, p) != p:
+                p = root[p]
+            return p
+
+        for i, p, told, text in members:
+            s = shingles(text, width)
+            for j in np.flatnonzero(np.unpackbits(np.frombuffer(told, np.uint8))).tolist():
+                for a, pa_, x in asked[j]:
+                    if find(p) != find(pa_) and _linked(x, s, percent):
+                        root[find(p)] = find(pa_)
+                        out.append((a, i))
+        asked.clear(), members.clear()
+        B.trim()
+        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in range(2)], names=["a", "b"])
 
-    return left.unionByName(right).groupBy("z", "qb", "mb").applyInArrow(run, "a long, b long").distinct()
+    pairs = left.unionByName(right).groupBy("z", "qb", "mb").applyInArrow(near, "block string, id long, part long, q boolean, near binary")
+    return pairs.join(texts, "id").groupBy("block").applyInArrow(links, "a long, b long")
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
@@ -360,20 +394,17 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     second = met(B.written(rep.select("id", "sub").join(crowd, "id"), "deep"), _deep_keys, "deep_pairs")
     pairs = first.unionByName(second).groupBy("a", "b").agg(F.min("kind").alias("kind"))
     pairs = B.written(near(pairs).groupBy("a", "b").agg(F.min("kind").alias("kind")), "near")
+    crowded = B.written(second.filter(F.col("most") == LARGE).select("a", "b"), "crowded")
+    ends = pairs.select("a", "b").unionByName(crowded).select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    texts = B.written(texts.join(B.held(B.written(ends, "ends")), "id"), "texts")
     # (a) stars; (b) other pairs of parts that the stars did not join; (c) families that no key splits
-    links = _confirmed(pairs.filter(F.col("kind") != PAIR).select("a", "b"), texts, width, percent, "stars")
-    parts = B.written(components(links), "parts")
+    parts = B.written(components(_confirmed(B.written(pairs.filter(F.col("kind") != PAIR).select("a", "b")), texts, width, percent, "stars")), "parts")
     label = lambda c: parts.select(F.col("id").alias(c), F.col("component").alias(f"part_{c}"))
     other = pairs.filter(F.col("kind") == PAIR).join(label("a"), "a", "left").join(label("b"), "b", "left").filter(F.coalesce("part_a", "a") != F.coalesce("part_b", "b"))
-    other = other.select("a", "b")
-    crowded = B.written(second.filter(F.col("most") == LARGE).select("a", "b"), "crowded")
+    more = _confirmed(B.written(other.select("a", "b"), "others"), texts, width, percent, "more")
     if crowded.take(1):
-        other = other.unionByName(_families(crowded, parts, sketch)).distinct()
-    other = B.written(other, "others")
-    whole = parts
-    if other.take(1):
-        more = _confirmed(other, texts, width, percent, "more")
-        whole = components(more.unionByName(parts.toDF("a", "b"))) if more.take(1) else parts
+        more = more.unionByName(B.written(_families(crowded, parts, sketch, texts, width, percent), "links"))
+    whole = components(more.unionByName(parts.toDF("a", "b"))) if more.take(1) else parts
     out = sig.select("id", "digest", "n").join(rep.select("digest", F.col("id").alias("rep")), "digest", "left").join(whole.toDF("rep", "component"), "rep", "left")
     component = F.when(F.col("n") > 0, F.coalesce("component", "rep")).otherwise(F.col("id"))
     out = out.select("id", F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), component).alias("component_id"))
