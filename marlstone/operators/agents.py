@@ -19,7 +19,7 @@ DOC = re.compile(r"\[source:\s*([^,\]]+?)\s*(?:,\s*page:\s*([^\]]+?)\s*)?\]")
 TOOL = re.compile(r"\[tool:\s*([^,\]]+?)\s*,\s*retrieved:\s*([^\]]+?)\s*\]")
 NEAR, AROUND = 50, 40
 PLACES = {"richmond": ["VIC", "NSW", "TAS"], "brighton": ["VIC", "SA", "QLD"], "st kilda": ["VIC", "SA"], "newcastle": ["NSW", "UK"], "perth": ["WA", "TAS", "Scotland"], "sydney": ["NSW", "Nova Scotia"]}
-QUALIFIERS = re.compile(r"\b(nsw|vic|qld|sa|wa|tas|nt|act|australia|uk|scotland|canada|nova scotia|new south wales|victoria|queensland|tasmania|melbourne|brisbane|adelaide)\b", re.I)
+QUALIFIERS = re.compile(r"\b(nsw|vic|qld|wa|sa|tas|act|nt|australia|australian|victoria|queensland|tasmania|tassie|uk|scotland|england|tyne|canada|nova|scotia)\b", re.I)
 
 
 def persona(shown: Column) -> Column:
@@ -131,14 +131,69 @@ def clarified(query: Column, qualifier: Column) -> Column:
     return F.when(F.coalesce(F.trim(qualifier), F.lit("")) == "", query).otherwise(F.concat(query, F.lit(" ("), qualifier, F.lit(")")))
 
 
-def followups(turns: DataFrame, rules: DataFrame, keys: list[str], most: int = 3) -> DataFrame:
-    """turns (keys, tool, persona), rules (kind, key, pos, q): distinct questions in the order of their rules."""
-    kinds = [("tool", F.col("tool")), ("persona", F.col("persona")), ("generic", F.lit(""))]
-    asked = turns.select(*keys, F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), c.alias("key")) for k, c in kinds))).alias("r")).select(*keys, "r.kind", "r.key")
-    found = asked.join(F.broadcast(rules), ["kind", "key"]).groupBy(*keys, "q").agg(F.min("pos").alias("pos"))
-    first = found.withColumn("n", F.row_number().over(W.partitionBy(*keys).orderBy("pos"))).filter(F.col("n") <= most)
-    lists = first.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("pos", "q"))).alias("l"))
-    return lists.select(*keys, F.array_join(F.transform("l", lambda x: x["q"]), ",").alias("questions"))
+# What is suggested after a tool's answer, to a persona, for a word of the question, and to everyone.
+TOOL_QUESTIONS = {
+    "rba_cash_rate": "How has the cash rate moved over the past 12 months?",
+    "compute_stamp_duty_nsw": "How does NSW stamp duty compare with VIC and QLD on the same purchase price?",
+    "compute_mortgage_repayment": "What would the repayment look like if rates rose by 1 percentage point?",
+    "compute_rental_yield": "What's a typical rental vacancy rate in that market?",
+    "abs_property_index": "How does that capital city compare with the national average?",
+    "abs_lending_indicators": "How are first-home-buyer lending volumes tracking versus investors?",
+    "sqm_vacancy": "How has rental vacancy moved over the past year in that city?",
+}
+PERSONA_QUESTIONS = {
+    "first_home_buyer": ["What grants or stamp-duty concessions might I be eligible for?", "What are the typical upfront costs beyond the deposit?"],
+    "investor": ["What's the gross rental yield on a property in that price range?", "How have rental vacancy rates trended recently?"],
+    "policy_researcher": ["What does the recent evidence say about long-run trends in this area?", "How do these numbers compare across the major capital cities?"],
+    "journalist": ["What's the most recent data point and how does it compare to a year ago?"],
+}
+WORD_QUESTIONS = {
+    "cash rate|interest rate": "What did the latest RBA statement give as the reason for that decision?",
+    "vacancy": "Which capital city has the tightest rental market right now?",
+}
+GENERIC_QUESTIONS = ["How does this compare across the major capital cities?", "What's the most recent data point on this?", "What's driving the recent trend?"]
+
+
+def followups(query: Column, persona: Column, tools: Column, most: int = 3) -> Column:
+    """Distinct questions: of the tools that answered (array of structs tool, failed), in call order; the persona's; the question's words'; general ones."""
+    lit = lambda qs: F.array(*(F.lit(q) for q in qs))
+    by_tool = F.create_map(*(F.lit(x) for kv in TOOL_QUESTIONS.items() for x in kv))
+    answered = F.filter(F.coalesce(tools, F.array().cast("array<struct<tool: string, failed: boolean>>")), lambda t: ~F.coalesce(t["failed"], F.lit(False)))
+    of_tools = F.filter(F.transform(answered, lambda t: F.try_element_at(by_tool, F.coalesce(F.trim(t["tool"]), F.lit("")))), lambda q: q.isNotNull())
+    p, none = F.lower(F.trim(F.coalesce(persona, F.lit("")))), F.array().cast("array<string>")
+    of_persona = none
+    for name, qs in PERSONA_QUESTIONS.items():
+        of_persona = F.when(p == name, lit(qs)).otherwise(of_persona)
+    of_words = [F.when(F.lower(F.coalesce(query, F.lit(""))).rlike(words), lit([q])).otherwise(none) for words, q in WORD_QUESTIONS.items()]
+    return F.slice(F.array_distinct(F.concat(of_tools, of_persona, *of_words, lit(GENERIC_QUESTIONS))), 1, most)
+
+
+def memoised(turns: DataFrame, key: str, cache: DataFrame | None, make: Column) -> DataFrame:
+    """(key, value) of each turn: the cached value if its key has one, else the one that ``make`` gives."""
+    if cache is None:
+        return turns.select(key, make.alias("value"))
+    return turns.join(cache.select(key, F.col("value").alias("_had")), key, "left").select(key, F.coalesce("_had", make).alias("value"))
+
+
+def today_line(day: Column, zone: str = "UTC") -> Column:
+    """The line that tells a model the date."""
+    return F.concat(F.lit("[Context] Today's date is "), F.date_format(day, "yyyy-MM-dd"), F.lit(f" ({zone}). Treat this as the current date when judging recency or whether cited material may be out of date.\n\n"))
+
+
+def styled_markers(answer: Column, kinds: Column) -> Column:
+    """An answer whose markers [n] are wrapped by the kind of the n-th citation; those without one count as documents."""
+    parts = F.regexp_extract_all(answer, F.lit(r"\[(\d+)\]|(?s)((?!\[\d+\]).)+"), F.lit(0))
+    n = lambda x: F.regexp_extract(x, r"^\[(\d+)\]$", 1)
+    kind = lambda x: F.when((F.length(n(x)) < 9) & (n(x).try_cast("int") >= 1), F.get(kinds, n(x).try_cast("int") - 1))
+    cls = lambda x: F.when(kind(x) == "tool", "cite-tool").otherwise("cite-doc")
+    return F.array_join(F.transform(parts, lambda x: F.when(n(x) == "", x).otherwise(F.concat(F.lit('<span class="cite '), cls(x), F.lit('">'), x, F.lit("</span>")))), "")
+
+
+def pages_of_publishers(chunks: DataFrame, *by: str) -> DataFrame:
+    """(by, publisher, pages sorted array): chunks (publisher, page); blank publishers are none, a null page is ''."""
+    p = F.trim("publisher")
+    rows = chunks.select(*by, p.alias("publisher"), F.coalesce(F.trim(F.col("page").cast("string")), F.lit("")).alias("page")).filter("publisher <> ''")
+    return rows.groupBy(*by, "publisher").agg(F.array_sort(F.collect_set("page")).alias("pages"))
 
 
 def trace(turns: DataFrame, key: str, subquestions: Column, tools: Column, answers: Column) -> DataFrame:

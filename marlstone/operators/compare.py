@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from marlstone.operators.evaluate import mean
+
 EPS, DIGITS = 1e-9, 6
 
 
@@ -20,7 +22,7 @@ def paired(base: DataFrame, other: DataFrame, key: str, metric: str) -> DataFram
 
 def wins(deltas: DataFrame, *by: str) -> DataFrame:
     d = F.col("delta")
-    return deltas.groupBy(*by).agg(F.count_if(d > EPS).alias("win"), F.count_if(F.abs(d) <= EPS).alias("tie"), F.count_if(d < -EPS).alias("loss"), (F.round(F.avg(d), DIGITS) + 0.0).alias("mean_delta"))
+    return deltas.groupBy(*by).agg(F.count_if(d > EPS).alias("win"), F.count_if(F.abs(d) <= EPS).alias("tie"), F.count_if(d < -EPS).alias("loss"), (mean(d) + 0.0).alias("mean_delta"))
 
 
 def extremes(deltas: DataFrame, by: str, n: int, key: str = "query") -> DataFrame:

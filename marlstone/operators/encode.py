@@ -5,31 +5,48 @@ Any callable from a list of texts to a matrix can take its place; it runs once a
 
 from __future__ import annotations
 
+import functools
+import hashlib
 import re
-import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from marlstone.functions.text import STOPWORDS
+
 DIMS = 64
+STOP = frozenset(STOPWORDS)
+
+
+@functools.lru_cache(200_000)
+def _place(word: str) -> tuple[int, int]:
+    h = hashlib.md5(word.encode()).digest()
+    return h[0] % DIMS, 1 if h[1] >= 128 else -1
+
+
+def term_list(text: str | None) -> list[str]:
+    return [w for x in re.findall("[A-Za-z0-9]+", text or "") if (w := x.lower()) not in STOP]
 
 
 def hashed(texts: list[str]) -> np.ndarray:
+    """Each term adds 1 or -1 to one of DIMS places, by its MD5; rows of no term are zero."""
     out = np.zeros((len(texts), DIMS))
     for i, t in enumerate(texts):
-        for w in re.findall("[a-z0-9]+", t.lower()):
-            h = zlib.crc32(w.encode())
-            out[i, h % DIMS] += 1 if h & 1024 else -1
+        for w in term_list(t):
+            place, sign = _place(w)
+            out[i, place] += sign
     norm = np.linalg.norm(out, axis=1, keepdims=True)
     return out / np.where(norm == 0, 1, norm)
 
 
 def embed(df: DataFrame, key: str, text: str, encoder: Callable[[list[str]], np.ndarray] = hashed, prefix: str = "") -> DataFrame:
+    """(key, embedding array<double>), one row for each input row; a null text is empty."""
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             vectors = encoder([prefix + (t or "") for t in f[text]])
-            yield pd.DataFrame({key: f[key], "embedding": [v.astype(np.float32) for v in vectors]})
+            yield pd.DataFrame({key: f[key], "embedding": [np.asarray(v, np.float64) for v in vectors]})
 
-    return df.select(key, text).mapInPandas(run, f"{key} {df.schema[key].dataType.simpleString()}, embedding array<float>")
+    return df.select(key, text).mapInPandas(run, f"{key} {df.schema[key].dataType.simpleString()}, embedding array<double>")

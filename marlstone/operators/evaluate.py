@@ -6,6 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 DIGITS = 6
+#: Added to means before they are rounded, so that those halfway between two digits go up in every engine.
+TIE = 1e-10
+
+
+def mean(value) -> Column:
+    return F.round(F.avg(value) + TIE, DIGITS)
 
 
 def per_query(hits: DataFrame, gold: DataFrame, queries: DataFrame, ks: tuple[int, ...] = (5, 10)) -> DataFrame:
@@ -33,26 +39,35 @@ METRICS = ("recall_5", "recall_10", "mrr_10", "ndcg_10")
 
 def means(rows: DataFrame, *by: str) -> DataFrame:
     """Macro means and n; zeros for no rows."""
-    out = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), *(F.round(F.avg(m), DIGITS).alias(m) for m in METRICS))
+    out = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), *(mean(m).alias(m) for m in METRICS))
     return out.select(*by, "n", *(F.coalesce(m, F.lit(0.0)).alias(m) for m in METRICS))
 
 
-def latency(df: DataFrame, value: str, *by: str) -> DataFrame:
-    """Mean, upper median, p95 at the half-even rounded place, and maximum.
+def latency(df: DataFrame, value: str, *by: str, parts: int = 256) -> DataFrame:
+    """Mean, upper median, p95 at the half-even rounded place, and maximum; the places are exact.
 
-    The places are exact: values are counted by rank within their group, not collected.
+    Equal values are counted first.  Approximate quantiles cut each group into ``parts``, the parts' counts
+    tell which hold the two places, and only their values are put in order.
     """
     from pyspark.sql.window import Window as W
 
-    ranked = df.select(*by, F.col(value).alias("v")).withColumn("i", F.row_number().over(W.partitionBy(*by).orderBy("v")) - 1).withColumn("n", F.count(F.lit(1)).over(W.partitionBy(*by)))
-    at = lambda i: F.max(F.when(F.col("i") == i, F.col("v")))
-    return ranked.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.round(F.avg("v"), DIGITS).alias("mean_ms"),
-        at(F.floor(F.col("n") / 2)).alias("median_ms"),
-        at(F.bround(0.95 * (F.col("n") - 1))).alias("p95_ms"),
+    counts = df.select(F.to_json(F.struct(F.lit(0), *by)).alias("k"), *by, F.col(value).alias("v")).filter("v IS NOT NULL").groupBy("k", *by, "v").agg(F.count(F.lit(1)).alias("c"))
+    whole = counts.groupBy("k", *by).agg(
+        F.sum("c").alias("n"),
+        F.round(F.sum(F.col("v") * F.col("c")) / F.sum("c"), DIGITS).alias("mean_ms"),
         F.max("v").alias("max_ms"),
+        F.percentile_approx("v", [i / parts for i in range(1, parts)], 10 * parts).alias("cuts"),
     )
+    places = whole.select("k", F.floor(F.col("n") / 2).alias("mid"), F.bround(0.95 * (F.col("n") - 1)).cast("long").alias("late"))
+    dealt = counts.join(whole.select("k", "cuts"), "k").select("k", "v", "c", F.size(F.filter("cuts", lambda x: x < F.col("v"))).alias("part"))
+    sizes = dealt.groupBy("k", "part").agg(F.sum("c").alias("size"))
+    before = sizes.withColumn("before", F.sum("size").over(W.partitionBy("k").orderBy("part")) - F.col("size")).join(places, "k")
+    holds = lambda i: (F.col(i) >= F.col("before")) & (F.col(i) < F.col("before") + F.col("size"))
+    asked = before.filter(holds("mid") | holds("late")).drop("size")
+    inside = dealt.join(asked, ["k", "part"]).withColumn("end", F.col("before") + F.sum("c").over(W.partitionBy("k", "part").orderBy("v")))
+    at = lambda i: F.max(F.when((F.col("end") > F.col(i)) & (F.col("end") - F.col("c") <= F.col(i)), F.col("v")))
+    found = inside.groupBy("k").agg(at("mid").alias("median_ms"), at("late").alias("p95_ms"))
+    return whole.join(found, "k").select(*by, "n", "mean_ms", "median_ms", "p95_ms", "max_ms")
 
 
 def recall_curve(hits: DataFrame, gold: DataFrame, k: int = 10) -> DataFrame:

@@ -129,16 +129,53 @@ def place_ambiguity(spark, sf_dir):
     return agents.ambiguous_places(table(spark, sf_dir, "conversations").select("conv_id", "turn", t.alias("query")), ["conv_id", "turn"], "query")
 
 
-@query("followup_suggestions", """WITH s AS (SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN 'rate' WHEN 1 THEN 'yield' ELSE 'none' END AS tool, CASE conv_id % 2 WHEN 0 THEN 'investor' ELSE 'general' END AS persona FROM conversations),
-r(kind, key, pos, q) AS (VALUES ('tool', 'rate', 0, 'T1'), ('tool', 'yield', 0, 'P1'), ('persona', 'investor', 10, 'P1'), ('persona', 'investor', 11, 'P2'), ('generic', '', 20, 'G1'), ('generic', '', 21, 'G2'), ('generic', '', 22, 'G3')),
-j AS (SELECT conv_id, turn, q, min(pos) AS pos FROM s JOIN r ON (kind = 'tool' AND key = tool) OR (kind = 'persona' AND key = persona) OR kind = 'generic' GROUP BY ALL)
-SELECT conv_id, turn, string_agg(q, ',' ORDER BY pos) AS questions FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY pos) AS n FROM j) WHERE n <= 3 GROUP BY conv_id, turn""")
+def _quoted(qs):
+    return "[" + ", ".join("'" + x.replace("'", "''") + "'" for x in qs) + "]"
+
+
+TURN_QUERY = "CASE turn % 4 WHEN 0 THEN 'Cash rate now?' WHEN 1 THEN 'Rental VACANCY in Perth' WHEN 2 THEN '' END"
+TURN_PERSONA = "CASE conv_id % 5 WHEN 0 THEN 'investor' WHEN 1 THEN ' Journalist ' WHEN 2 THEN 'first_home_buyer' WHEN 3 THEN 'policy_researcher' END"
+
+
+@query("followup_suggestions", f"""WITH s AS (SELECT conv_id, turn, {TURN_QUERY} AS q, lower(trim(coalesce({TURN_PERSONA}, ''))) AS p, turn % 3 AS a, conv_id % 3 AS b FROM conversations),
+t AS (SELECT *, [x for x in [CASE WHEN a = 0 THEN {_quoted([agents.TOOL_QUESTIONS["sqm_vacancy"]])}[1] END, CASE WHEN b = 1 THEN {_quoted([agents.TOOL_QUESTIONS["rba_cash_rate"]])}[1] END] if x IS NOT NULL] AS ft FROM s),
+l AS (SELECT conv_id, turn, ft || CASE p {" ".join(f"WHEN '{k}' THEN {_quoted(v)}" for k, v in agents.PERSONA_QUESTIONS.items())} ELSE [] END
+      || CASE WHEN contains(lower(coalesce(q, '')), 'cash rate') THEN {_quoted([agents.WORD_QUESTIONS["cash rate|interest rate"]])} ELSE [] END || CASE WHEN contains(lower(coalesce(q, '')), 'vacancy') THEN {_quoted([agents.WORD_QUESTIONS["vacancy"]])} ELSE [] END || {_quoted(agents.GENERIC_QUESTIONS)} AS l FROM t)
+SELECT conv_id, turn, array_to_string(l[1:3], '|') AS questions FROM l""")
 def followup_suggestions(spark, sf_dir):
-    """Tool rules first, then the persona's, then general ones; no repeats, three at most."""
-    rules = spark.createDataFrame([("tool", "rate", 0, "T1"), ("tool", "yield", 0, "P1"), ("persona", "investor", 10, "P1"), ("persona", "investor", 11, "P2"), ("generic", "", 20, "G1"), ("generic", "", 21, "G2"), ("generic", "", 22, "G3")], "kind string, key string, pos int, q string")
-    tool = F.when(F.col("turn") % 3 == 0, "rate").when(F.col("turn") % 3 == 1, "yield").otherwise("none")
-    s = table(spark, sf_dir, "conversations").select("conv_id", "turn", tool.alias("tool"), F.when(F.col("conv_id") % 2 == 0, "investor").otherwise("general").alias("persona"))
-    return agents.followups(s, rules, ["conv_id", "turn"])
+    """Questions of the tools that answered, then the persona's, the question's words' and general ones, three at most."""
+    tools = F.expr("array(named_struct('tool', if(turn % 3 = 0, 'sqm_vacancy', 'unknown'), 'failed', false), named_struct('tool', 'rba_cash_rate', 'failed', conv_id % 3 <> 1))")
+    out = agents.followups(F.expr(TURN_QUERY), F.expr(TURN_PERSONA), tools)
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.array_join(out, "|").alias("questions"))
+
+
+@query("memoised_followups", "SELECT conv_id * 1000 + turn AS turn_id, CASE WHEN turn % 2 = 0 THEN 'kept' ELSE 'How does this compare across the major capital cities?' END AS value FROM conversations")
+def memoised_followups(spark, sf_dir):
+    """Each turn's suggestions, made once: turns that have some keep theirs."""
+    t = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("turn_id"), "turn")
+    had = t.filter("turn % 2 = 0").select("turn_id", F.lit("kept").alias("value"))
+    return agents.memoised(t, "turn_id", had, agents.followups(F.lit(""), F.lit(""), F.lit(None).cast("array<struct<tool: string, failed: boolean>>"), 1)[0])
+
+
+@query("today_context", "SELECT event_id, '[Context] Today''s date is ' || strftime(ts, '%Y-%m-%d') || ' (UTC). Treat this as the current date when judging recency or whether cited material may be out of date.' || chr(10) || chr(10) AS line FROM events")
+def today_context(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", agents.today_line(F.col("ts")).alias("line"))
+
+
+@query("marker_styles", """WITH t AS (SELECT doc_id, 'a [1] b' || (doc_id % 3)::VARCHAR || '[' || (doc_id % 4)::VARCHAR || '] [x] [2]' AS a, ['doc', CASE WHEN doc_id % 2 = 0 THEN 'tool' ELSE 'doc' END] AS k FROM documents),
+c AS (SELECT *, CASE WHEN k[2] = 'tool' THEN 'tool' ELSE 'doc' END AS two FROM t)
+SELECT doc_id, 'a <span class="cite cite-doc">[1]</span> b' || (doc_id % 3)::VARCHAR || '<span class="cite cite-' || CASE WHEN doc_id % 4 = 2 THEN two ELSE 'doc' END || '">[' || (doc_id % 4)::VARCHAR || ']</span> [x] <span class="cite cite-' || two || '">[2]</span>' AS html FROM c""")
+def marker_styles(spark, sf_dir):
+    n = lambda m: (F.col("doc_id") % m).cast("string")
+    answer = F.concat(F.lit("a [1] b"), n(3), F.lit("["), n(4), F.lit("] [x] [2]"))
+    kinds = F.array(F.lit("doc"), F.when(F.col("doc_id") % 2 == 0, "tool").otherwise("doc"))
+    return table(spark, sf_dir, "documents").select("doc_id", agents.styled_markers(answer, kinds).alias("html"))
+
+
+@query("publisher_pages", """SELECT lang, trim(source) AS publisher, array_to_string(list_sort(list(DISTINCT CASE WHEN doc_id % 4 = 0 THEN '' ELSE (n_chars % 9)::VARCHAR END)), ',') AS pages FROM documents WHERE trim(source) <> '' GROUP BY 1, 2""")
+def publisher_pages(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("lang", F.col("source").alias("publisher"), F.when(F.col("doc_id") % 4 != 0, F.col("n_chars") % 9).alias("page"))
+    return agents.pages_of_publishers(d, "lang").select("lang", "publisher", F.array_join("pages", ",").alias("pages"))
 
 
 @query("evidence_caps", "SELECT source, count(*)::BIGINT AS n, md5(string_agg(left(text, 240), chr(10) ORDER BY doc_id)) AS evidence FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n FROM documents) WHERE n <= 12 GROUP BY source")

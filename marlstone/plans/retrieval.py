@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from marlstone.functions import text as X
-from marlstone.operators import bm25, dense, evaluate, fuse
+from marlstone.operators import bm25, dense, encode, evaluate, fuse
 from marlstone.plans.registry import query
-from marlstone.sources.tables import spread, table
+from marlstone.sources.tables import scratch, spread, table
 
 STOP = "[" + ", ".join(f"'{w}'" for w in sorted(set(X.STOPWORDS))) + "]"
 
@@ -109,14 +109,43 @@ def cosine_funnel(spark, sf_dir):
     return v.agg(F.count(F.lit(1)).alias("n_in"), n("kept").alias("kept"), n("missing").alias("drop_missing"), n("low").alias("drop_low"), n("high").alias("drop_high"))
 
 
+VECTORS = f"""vt AS (SELECT 'd' AS kind, doc_id AS id, unnest(w) AS t FROM tok UNION ALL SELECT 'q', item_id, unnest({terms_sql('text')}) FROM benchmark),
+vv AS (SELECT kind, id, ('0x' || substr(md5(t), 1, 2))::INTEGER % 64 AS dim, sum(CASE WHEN substr(md5(t), 3, 1) >= '8' THEN 1 ELSE -1 END)::DOUBLE AS v FROM vt GROUP BY ALL),
+vn AS (SELECT kind, id, sum(v * v) AS n FROM vv GROUP BY kind, id),
+vd AS (SELECT q.id AS item_id, d.id AS doc_id, sum(q.v * d.v) AS dot FROM vv q JOIN vv d ON q.kind = 'q' AND d.kind = 'd' AND q.dim = d.dim GROUP BY 1, 2)"""
+NEAREST = f"""{VECTORS},
+vs AS (SELECT item_id, doc_id, round(coalesce(dot / (sqrt(q.n) * sqrt(d.n)), 0), 6) + 0.0 AS score FROM (SELECT item_id FROM benchmark) CROSS JOIN (SELECT doc_id FROM documents) LEFT JOIN vd USING (item_id, doc_id) LEFT JOIN vn q ON q.kind = 'q' AND q.id = item_id LEFT JOIN vn d ON d.kind = 'd' AND d.id = doc_id),
+o AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank FROM vs) WHERE rank <= 50)"""
 FUSED = """fu AS (SELECT item_id, doc_id, coalesce(1.0 / (60 + d.rank), 0) AS a, coalesce(1.0 / (60 + s.rank), 0) AS b, d.rank AS dense_rank, s.rank AS sparse_rank FROM o d FULL JOIN s USING (item_id, doc_id)),
 fr2 AS (SELECT item_id, doc_id, round((a::DOUBLE + b::DOUBLE), 9) AS score, dense_rank, sparse_rank FROM fu),
 f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, dense_rank NULLS LAST, sparse_rank NULLS LAST)::INTEGER AS rank FROM fr2) WHERE rank <= 10)"""
-HYBRID = f"{BASE}, {hits_sql('okapi', 50, 'o')}, {hits_sql('script', 50, 's')}, {FUSED.replace('1.0', '1e0')}"
+HYBRID = f"{BASE}, {NEAREST}, {hits_sql('script', 50, 's')}, {FUSED.replace('1.0', '1e0')}"
+
+
+def encoded_hits(spark, sf_dir, k):
+    """Vector hits of benchmark items among documents, both encoded alike."""
+    vectors = lambda name, key: encode.embed(spread(table(spark, sf_dir, name)).select(F.col(key).alias("id"), "text"), "id", "text")
+    return dense.search(vectors("benchmark", "item_id"), vectors("documents", "doc_id"), "id", "embedding", k)
 
 
 def hybrid_hits(spark, sf_dir):
-    return fuse.reciprocal_rank(bm25_hits(spark, sf_dir, 50, True), bm25_hits(spark, sf_dir, 50))
+    """The vector list and the lexical list of each item, fused."""
+    return fuse.reciprocal_rank(encoded_hits(spark, sf_dir, 50), bm25_hits(spark, sf_dir, 50))
+
+
+@query("encoded_topk", f"WITH {TOK}, {NEAREST} SELECT item_id, doc_id, score, rank FROM o WHERE rank <= 10")
+def encoded_topk(spark, sf_dir):
+    return encoded_hits(spark, sf_dir, 10).select(F.col("query").alias("item_id"), F.col("doc").alias("doc_id"), "score", "rank")
+
+
+@query("bm25_index", f"WITH {BASE}, {hits_sql('okapi', 10, 'h')} SELECT item_id, doc_id, score, rank FROM h")
+def bm25_index(spark, sf_dir):
+    """The Okapi variant over an index that is written and read again."""
+    path = scratch(spark, "index")
+    docs = spread(table(spark, sf_dir, "documents"))
+    bm25.build_index(docs, "text", path)
+    out = bm25.search(table(spark, sf_dir, "benchmark"), docs, "item_id", "text", "doc_id", "text", 10, True, bm25.load_index(spark, path))
+    return out.select(F.col("query").alias("item_id"), F.col("doc").alias("doc_id"), "score", "rank")
 
 
 @query("rrf_fusion", f"WITH {HYBRID} SELECT item_id, doc_id, score, dense_rank, sparse_rank, rank FROM f")
@@ -171,7 +200,7 @@ def eval_per_query(spark, sf_dir):
     return run_metrics(spark, sf_dir, hybrid_hits(spark, sf_dir)).withColumnRenamed("query", "item_id")
 
 
-MEANS = "count(*)::BIGINT AS n, " + ", ".join(f"coalesce(round(avg({m}), 6), 0) AS {m}" for m in evaluate.METRICS)
+MEANS = "count(*)::BIGINT AS n, " + ", ".join(f"coalesce(round(avg({m}) + {evaluate.TIE}, 6), 0) AS {m}" for m in evaluate.METRICS)
 
 
 @query("hybrid_eval_report", f"WITH {HYBRID}, {GOLD}, {PERQ} SELECT {MEANS} FROM pq")
@@ -198,7 +227,7 @@ def eval_grouping_sets(spark, sf_dir):
     """Overall, headline, regime and (headline rows only) persona means from one pass of grouping sets."""
     rows = tagged(run_metrics(spark, sf_dir, hybrid_hits(spark, sf_dir))).withColumn("headline", F.col("regime") != "pre_2026_reform")
     sets = [[], [F.col("headline")], [F.col("regime")], [F.col("headline"), F.col("persona")]]
-    out = rows.groupingSets(sets, "headline", "regime", "persona").agg(F.grouping_id().alias("gid"), F.count(F.lit(1)).alias("n"), *(F.coalesce(F.round(F.avg(m), 6), F.lit(0.0)).alias(m) for m in evaluate.METRICS))
+    out = rows.groupingSets(sets, "headline", "regime", "persona").agg(F.grouping_id().alias("gid"), F.count(F.lit(1)).alias("n"), *(F.coalesce(evaluate.mean(m), F.lit(0.0)).alias(m) for m in evaluate.METRICS))
     # bits, high to low: headline, regime, persona rolled up
     out = out.filter((F.col("gid") != 0b010) | F.col("headline"))
     kind = F.when(F.col("gid") == 0b111, "overall").when(F.col("gid") == 0b011, "headline").when(F.col("gid") == 0b101, "regime").otherwise("persona")
@@ -248,7 +277,7 @@ def run_deltas(spark, sf_dir):
     return two_runs(spark, sf_dir).select(F.col("query").alias("item_id"), "persona", "base", "other", "delta")
 
 
-@query("run_compare_wtl", f"WITH {TWO} SELECT persona, count(*) FILTER (delta > 1e-9)::BIGINT AS win, count(*) FILTER (abs(delta) <= 1e-9)::BIGINT AS tie, count(*) FILTER (delta < -1e-9)::BIGINT AS loss, round(avg(delta), 6) + 0.0 AS mean_delta FROM dd GROUP BY persona")
+@query("run_compare_wtl", f"WITH {TWO} SELECT persona, count(*) FILTER (delta > 1e-9)::BIGINT AS win, count(*) FILTER (abs(delta) <= 1e-9)::BIGINT AS tie, count(*) FILTER (delta < -1e-9)::BIGINT AS loss, round(avg(delta) + {evaluate.TIE}, 6) + 0.0 AS mean_delta FROM dd GROUP BY persona")
 def run_compare_wtl(spark, sf_dir):
     from marlstone.operators.compare import wins
 
@@ -266,20 +295,20 @@ def top_wins_losses(spark, sf_dir):
     return extremes(two_runs(spark, sf_dir), "persona", 3).withColumnRenamed("query", "item_id")
 
 
-@query("biggest_lift", f"WITH {TWO}, m AS (SELECT persona, round(avg(delta), 6) + 0.0 AS lift FROM dd GROUP BY persona) SELECT persona, lift FROM m ORDER BY lift DESC, persona LIMIT 1")
+@query("biggest_lift", f"WITH {TWO}, m AS (SELECT persona, round(avg(delta) + {evaluate.TIE}, 6) + 0.0 AS lift FROM dd GROUP BY persona) SELECT persona, lift FROM m ORDER BY lift DESC, persona LIMIT 1")
 def biggest_lift(spark, sf_dir):
-    m = two_runs(spark, sf_dir).groupBy("persona").agg((F.round(F.avg("delta"), 6) + 0.0).alias("lift"))
+    m = two_runs(spark, sf_dir).groupBy("persona").agg((evaluate.mean("delta") + 0.0).alias("lift"))
     return m.agg(F.min_by("persona", F.struct((-F.col("lift")).alias("l"), "persona")).alias("persona"), F.max("lift").alias("lift"))
 
 
 @query(
     "best_per_metric",
-    f"""WITH {TWO}, v AS (SELECT 'okapi' AS variant, round(avg(base), 6) AS mrr_10 FROM dd UNION ALL SELECT 'script', round(avg(other), 6) FROM dd)
+    f"""WITH {TWO}, v AS (SELECT 'okapi' AS variant, round(avg(base) + {evaluate.TIE}, 6) AS mrr_10 FROM dd UNION ALL SELECT 'script', round(avg(other) + {evaluate.TIE}, 6) FROM dd)
 SELECT variant, mrr_10, mrr_10 >= max(mrr_10) OVER () - 1e-9 AS best, round(mrr_10 - first_value(mrr_10) OVER (ORDER BY variant), 6) + 0.0 AS delta_first FROM v""",
 )
 def best_per_metric(spark, sf_dir):
     """Variants with the best marked (ties all), and the change from the first."""
-    d = two_runs(spark, sf_dir).agg(F.round(F.avg("base"), 6).alias("okapi"), F.round(F.avg("other"), 6).alias("script"))
+    d = two_runs(spark, sf_dir).agg(evaluate.mean("base").alias("okapi"), evaluate.mean("other").alias("script"))
     v = d.select(F.expr("stack(2, 'okapi', okapi, 'script', script) AS (variant, mrr_10)"), F.greatest("okapi", "script").alias("top"), F.col("okapi").alias("first"))
     return v.select("variant", "mrr_10", (F.col("mrr_10") >= F.col("top") - 1e-9).alias("best"), (F.round(F.col("mrr_10") - F.col("first"), 6) + 0.0).alias("delta_first"))
 

@@ -7,10 +7,10 @@ from pyspark.sql.window import Window as W
 
 from marlstone.functions import keys, money, rules
 from marlstone.functions import text as X
-from marlstone.operators import agents, encode
+from marlstone.operators import agents, encode, evaluate
 from marlstone.operators.dense import dot
 from marlstone.plans.registry import query
-from marlstone.plans.retrieval import BASE, GOLD, HYBRID, PERQ, TAG, bm25_hits, gold_pairs, hits_sql, hybrid_hits, run_metrics, tagged
+from marlstone.plans.retrieval import BASE, GOLD, HYBRID, PERQ, TAG, TOK, VECTORS, bm25_hits, gold_pairs, hits_sql, hybrid_hits, run_metrics, tagged
 from marlstone.sources.tables import table
 
 
@@ -159,12 +159,6 @@ def candidate_report(spark, sf_dir):
     return out.select(F.col("query").alias("item_id"), F.col("doc").alias("doc_id"), "pick")
 
 
-@query("vector_points", "SELECT vec_id, label, len(embedding)::BIGINT AS dims FROM embeddings")
-def vector_points(spark, sf_dir):
-    """Points with deterministic ids (see uuid5_ids); the count is that of the vectors."""
-    return table(spark, sf_dir, "embeddings").withColumn("id", keys.uuid5(F.concat(F.lit("v"), F.col("vec_id").cast("string")))).select("vec_id", "label", F.size("embedding").cast("long").alias("dims"))
-
-
 @query("vector_norms", "SELECT vec_id, round(sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])), 5) AS norm FROM embeddings")
 def vector_norms(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").select("vec_id", F.round(F.sqrt(dot(F.col("embedding"), F.col("embedding"))), 5).alias("norm"))
@@ -179,16 +173,19 @@ def embedding_cache(spark, sf_dir):
     return found.agg(F.count("have").alias("hits"), F.count_if(F.col("have").isNull()).alias("misses"))
 
 
-@query("embedding_job")
+@query("embedding_job", f"WITH {TOK}, {VECTORS}, e AS (SELECT id, sum(v) / sqrt(any_value(n)) AS total, max(v) / sqrt(any_value(n)) AS top, count(*) AS dims FROM vv JOIN vn USING (kind, id) WHERE kind = 'd' GROUP BY id) SELECT doc_id, round(coalesce(total, 0), 5) + 0.0 AS total, CASE WHEN dims = 64 THEN round(top, 5) + 0.0 END AS top FROM documents LEFT JOIN e ON id = doc_id")
 def embedding_job(spark, sf_dir):
-    """Every document as a unit vector by the deterministic hashing encoder."""
-    return encode.embed(table(spark, sf_dir, "documents"), "doc_id", "text")
+    """Every document as a unit vector by the deterministic hashing encoder: the vector's sum, and its largest entry where no entry is untouched."""
+    v = encode.embed(table(spark, sf_dir, "documents"), "doc_id", "text")
+    touched = table(spark, sf_dir, "documents").select("doc_id", F.size(F.array_distinct(F.transform(X.terms(F.col("text")), lambda t: F.conv(F.substring(F.md5(t), 1, 2), 16, 10).cast("int") % encode.DIMS))).alias("n"))
+    total = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x)
+    return v.join(touched, "doc_id").select("doc_id", (F.round(total, 5) + 0.0).alias("total"), F.when(F.col("n") == encode.DIMS, F.round(F.array_max("embedding"), 5) + 0.0).alias("top"))
 
 
-@query("metric_delta_rows", f"WITH {HYBRID}, {GOLD}, {PERQ}, {TAG}, m AS (SELECT persona, round(avg(recall_5), 6) AS recall_5, round(avg(mrr_10), 6) AS mrr_10 FROM tg GROUP BY persona) SELECT persona, 'recall_5' AS metric, recall_5 AS value, CASE WHEN recall_5 >= 0.5 THEN '+' ELSE '−' END AS sign FROM m UNION ALL SELECT persona, 'mrr_10', mrr_10, CASE WHEN mrr_10 >= 0.5 THEN '+' ELSE '−' END FROM m")
+@query("metric_delta_rows", f"WITH {HYBRID}, {GOLD}, {PERQ}, {TAG}, m AS (SELECT persona, round(avg(recall_5) + {evaluate.TIE}, 6) AS recall_5, round(avg(mrr_10) + {evaluate.TIE}, 6) AS mrr_10 FROM tg GROUP BY persona) SELECT persona, 'recall_5' AS metric, recall_5 AS value, CASE WHEN recall_5 >= 0.5 THEN '+' ELSE '−' END AS sign FROM m UNION ALL SELECT persona, 'mrr_10', mrr_10, CASE WHEN mrr_10 >= 0.5 THEN '+' ELSE '−' END FROM m")
 def metric_delta_rows(spark, sf_dir):
     """Metrics as rows, with the sign of their distance from a half."""
-    rows = tagged(run_metrics(spark, sf_dir, hybrid_hits(spark, sf_dir))).groupBy("persona").agg(F.round(F.avg("recall_5"), 6).alias("recall_5"), F.round(F.avg("mrr_10"), 6).alias("mrr_10"))
+    rows = tagged(run_metrics(spark, sf_dir, hybrid_hits(spark, sf_dir))).groupBy("persona").agg(evaluate.mean("recall_5").alias("recall_5"), evaluate.mean("mrr_10").alias("mrr_10"))
     return rows.unpivot("persona", ["recall_5", "mrr_10"], "metric", "value").withColumn("sign", F.when(F.col("value") >= 0.5, "+").otherwise("−"))
 
 

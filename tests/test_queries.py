@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from marlstone.plans import agents, corpus, registry, retrieval, series, small  # noqa: F401
+from marlstone.plans import agents, corpus, inputs, registry, retrieval, series, small  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
