@@ -499,7 +499,50 @@ def test_quotes(spark):
     assert at(1, 4) == (0, 0, 1, 1, "late reply")
     assert at(2, 0) == (None, 0, 0, 1, "other conversation")
     assert at(4, 0) == (None, 0, 0, 0, "")
+    assert [got[1, t].place for t in (0, 1, 2, 4, 3)] == [0, 1, 2, 3, 4] and got[3, None].place is None
     deep = [(9, 0, "m0")] + [(9, i, f"> m{i - 1}\nm{i}") for i in range(1, 20)]
     out = quotes.link_quotes(spark.createDataFrame(deep, "conv_id long, turn long, text string")).collect()
     assert {r.turn: (r.thread, r.depth) for r in out} == {i: (0, i) for i in range(20)}
     assert quotes.link_quotes(df.limit(0)).count() == 0
+
+
+def test_quoted_passages_against_sql(spark):
+    """Nested, re-wrapped, partial and repeated quotes: what the registered SQL gives."""
+    import duckdb
+
+    rnd = random.Random(99)
+    vocabulary = [f"w{i}" for i in range(60)] + ["Yes", "NO", "ok."]
+    rows = []
+    for conv in range(30):
+        own: list[list[str]] = []
+        for turn in range(rnd.randint(1, 40)):
+            lines = []
+            for _ in range(rnd.randint(0, 3)):
+                if own and rnd.random() < 0.7:
+                    src, depth = rnd.choice(own), rnd.randint(1, 3)
+                    i = rnd.randrange(len(src) + 1)
+                    part, cut = src[i : i + rnd.randint(1, 30)], rnd.randint(1, 9)
+                    lines += [">" * depth + rnd.choice(["", " ", "> "]) + " ".join(part[k : k + cut]).upper() for k in range(0, len(part), cut)]
+                lines.append(rnd.choice(["", "  ", "said so", "> unknown words of none here at all"]))
+            body = [rnd.choice(vocabulary) for _ in range(rnd.randint(0, 40))]
+            own.append(body)
+            lines += [" ".join(body[k : k + 11]) for k in range(0, len(body), 11)]
+            rows.append((conv, turn * rnd.choice((1, 700)), rnd.choice(("user", "assistant")), "\n".join(lines)))
+    rows += [(None, 1, "user", "> x"), (3, None, "user", None), rows[5], (rows[5][0], rows[5][1], "user", "another text"), (50, 0, None, None)]
+    rows += [(60, t, "user", f"message {t} has words of its own here\n> message {t - 1} has words\n> of its own here") for t in range(3000)]
+    kind = "conv_id long, turn long, role string, text string"
+    df = spark.createDataFrame(rows, kind).repartition(5)
+    linked = quotes.link_quotes(df, keep=("role",))
+    names = sorted(linked.columns)
+    got = sorted(str([r[c] for c in names]) for r in linked.collect())
+    con = duckdb.connect()
+    import pandas as pd
+
+    frame = pd.DataFrame(rows, columns=["conv_id", "turn", "role", "text"]).astype({"conv_id": "Int64", "turn": "Int64"})
+    con.register("conversations", frame)
+    cur = con.execute(quotes.OP9_SQL)
+    at = [[d[0] for d in cur.description].index(c) for c in names]
+    assert got == sorted(str([r[i] for i in at]) for r in cur.fetchall())
+    built = {(r.conv_id, r.part): r.messages for r in quotes.conversations(linked).collect()}
+    assert [m.turn for p in range(3) for m in built[60, p]] == list(range(3000)) and [len(built[60, p]) for p in range(3)] == [1000] * 3
+    assert all(">" not in (m.text or "") for ms in built.values() for m in ms)
