@@ -118,22 +118,44 @@ def paragraphs(df: DataFrame, key: str, text: str) -> DataFrame:
     return _per_row(df, key, text, make, ["pos", "heading", "paragraph"], "pos int, heading string, paragraph string")
 
 
-def word_count(text: str) -> int:
-    return len(text.split())
+#: How texts become tokens and back; words here, byte pairs with ``bpe``.
+Codec = Callable[[], tuple[Callable[[str], list], Callable[[list], str]]]
 
 
-def pack_paragraphs(stream: list[tuple[list[str], str]], least: int, most: int, overlap: int, count: Callable[[str], int] = word_count) -> list[tuple[list[str], str, int]]:
-    """(headings, text, tokens) of greedy chunks; tokens are words, as ``count`` has them.
+def words() -> tuple[Callable[[str], list], Callable[[list], str]]:
+    return str.split, " ".join
 
-    A paragraph over ``most`` is cut into slices of ``most`` words.  A chunk is closed where the headings
+
+def bpe(path: str, pattern: str) -> Codec:
+    """Byte-pair tokens of a vocabulary file; special strings in a text are text."""
+
+    def load() -> tuple[Callable[[str], list], Callable[[list], str]]:
+        if path not in _LOADED:
+            import tiktoken
+            from tiktoken.load import load_tiktoken_bpe
+
+            _LOADED[path] = tiktoken.Encoding("chunks", pat_str=pattern, mergeable_ranks=load_tiktoken_bpe(path), special_tokens={})
+        return _LOADED[path].encode_ordinary, _LOADED[path].decode
+
+    return load
+
+
+_LOADED: dict = {}
+
+
+def pack_paragraphs(stream: list[tuple[list[str], str]], least: int, most: int, overlap: int, codec: Codec = words) -> list[tuple[list[str], str, int]]:
+    """(headings, text, tokens) of greedy chunks.
+
+    A paragraph over ``most`` tokens is cut into slices of that many.  A chunk is closed where the headings
     change and it has ``least``, or where the next paragraph would take it over ``most``; the next one
-    starts with the closed one's last ``overlap`` words if they fit beside that paragraph.
+    starts with the closed one's last ``overlap`` tokens if they fit beside that paragraph.
     """
+    encode, decode = codec()
     units = []
     for heads, text in stream:
-        words = text.split()
-        pieces = [text] if count(text) <= most else [" ".join(words[i : i + most]) for i in range(0, len(words), most)]
-        units += [(heads, p, count(p)) for p in pieces]
+        ids = encode(text)
+        pieces = [text] if len(ids) <= most else [decode(ids[i : i + most]) for i in range(0, len(ids), most)]
+        units += [(heads, p, len(ids) if len(pieces) == 1 else len(encode(p))) for p in pieces]
     out: list[tuple[list[str], str, int]] = []
     texts: list[str] = []
     heads_now, size = None, 0
@@ -141,19 +163,21 @@ def pack_paragraphs(stream: list[tuple[list[str], str]], least: int, most: int,
         turned = heads_now is not None and heads != heads_now and size >= least
         if texts and (turned or size + n > most):
             whole = "\n\n".join(texts)
-            out.append((heads_now or [], whole, count(whole)))
-            tail = whole.split()[-overlap:] if overlap else []
+            ids = encode(whole)
+            out.append((heads_now or [], whole, len(ids)))
+            tail = ids[-overlap:] if overlap else []
             fits = bool(tail) and len(tail) + n <= most
-            texts, size, heads_now = ([" ".join(tail)], len(tail), None) if fits else ([], 0, None)
+            texts, size, heads_now = ([decode(tail)], len(tail), None) if fits else ([], 0, None)
         heads_now = heads if heads_now is None else heads_now
         texts.append(text)
         size += n
     if texts:
         whole = "\n\n".join(texts)
-        out.append((heads_now or [], whole, count(whole)))
+        out.append((heads_now or [], whole, len(encode(whole))))
     return out
 
 
-def pack(df: DataFrame, key: str, text: str, least: int = 100, most: int = 500, overlap: int = 50) -> DataFrame:
-    make = lambda t: [(i, " > ".join(h), c, n) for i, (h, c, n) in enumerate(pack_paragraphs(paragraph_stream(t), least, most, overlap))]
+def pack(df: DataFrame, key: str, text: str, least: int = 500, most: int = 800, overlap: int = 100, codec: Codec = words) -> DataFrame:
+    """(key, ordinal, heading, text, token_count): the chunks of each Markdown text."""
+    make = lambda t: [(i, " > ".join(h), c, n) for i, (h, c, n) in enumerate(pack_paragraphs(paragraph_stream(t), least, most, overlap, codec))]
     return _per_row(df, key, text, make, ["ordinal", "heading", "text", "token_count"], "ordinal int, heading string, text string, token_count int")

@@ -110,12 +110,23 @@ def groundedness(spark, sf_dir):
     return agents.groundedness(cited(spark, sf_dir), ["conv_id", "turn"], "answer")
 
 
-@query("enforce_citations")
+MARKED = f"""{CITED},
+mk AS (SELECT conv_id, turn, answer, string_split_regex(answer, '\\[(?:source|tool):[^\\]]+\\]') AS p, regexp_extract_all(answer, '\\[(?:source|tool):[^\\]]+\\]') AS m FROM x),
+ky AS (SELECT *, list_transform(m, lambda k: regexp_replace(regexp_replace(k, '\\s*([,:\\]])\\s*', '\\1', 'g'), '\\s+', ' ', 'g')) AS k FROM mk)"""
+
+
+@query("enforce_citations", f"""WITH {MARKED},
+nt AS (SELECT *, list_transform(k, lambda c: CASE WHEN c LIKE '[tool:%' THEN CASE WHEN regexp_extract(c, '^.tool:([^,]*)', 1) = 'rate' THEN '' ELSE ' (unverified)' END
+       WHEN regexp_extract(c, '^.source:([^,\\]]*)', 1) NOT IN ('RBA', 'SQM') THEN ' (unverified)'
+       WHEN regexp_extract(c, ',page:([^\\]]*)', 1) NOT IN ('', CASE regexp_extract(c, '^.source:([^,\\]]*)', 1) WHEN 'RBA' THEN '0' ELSE '2' END) THEN ' (page-unverified)' ELSE '' END) AS n FROM ky),
+ot AS (SELECT conv_id, turn, array_to_string(list_transform(range(1, len(p) + 1), lambda i: p[i] || CASE WHEN i <= len(m) THEN m[i] || n[i] ELSE '' END), '') AS o, len(list_filter(n, lambda c: c <> '')) AS orphans FROM nt)
+SELECT conv_id, turn, CASE WHEN contains(o, chr(10) || 'Sources') THEN o ELSE o || chr(10) || chr(10) || 'Sources (auto):' || chr(10) || '- Documents: RBA, SQM' || chr(10) || '- Tools: rate' END AS answer, orphans::INTEGER AS n_orphans FROM ot""")
 def enforce_citations(spark, sf_dir):
     return agents.enforce_citations(cited(spark, sf_dir), ["conv_id", "turn"], "answer", {"RBA": {"0"}, "SQM": {"2"}}, {"rate"})
 
 
-@query("citation_renumber")
+@query("citation_renumber", f"""WITH {MARKED}, ds AS (SELECT *, list_filter(k, lambda c, i: list_position(k, c) = i) AS d FROM ky)
+SELECT conv_id, turn, array_to_string(list_transform(range(1, len(p) + 1), lambda i: p[i] || CASE WHEN i <= len(k) THEN '[' || list_position(d, k[i]) || ']' ELSE '' END), '') AS answer, len(d)::INTEGER AS n_citations FROM ds""")
 def citation_renumber(spark, sf_dir):
     return agents.renumber(cited(spark, sf_dir), ["conv_id", "turn"], "answer")
 

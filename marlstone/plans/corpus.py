@@ -173,14 +173,20 @@ def html_to_markdown(spark, sf_dir):
 
 @query("chunk_pack")
 def chunk_pack(spark, sf_dir):
-    """Pages as Markdown, packed into chunks of at most 200 words with an overlap of 20."""
+    """Pages as Markdown, packed into chunks of 500 to 800 byte-pair tokens with an overlap of 100."""
+    import public_tokenizers as P
+
     md = corpus.html_to_markdown(tables.spread(table(spark, sf_dir, "pages")), "page_id", "html")
-    return corpus.pack(md, "page_id", "markdown", least=50, most=200, overlap=20)
+    return corpus.pack(md, "page_id", "markdown", least=500, most=800, overlap=100, codec=corpus.bpe(P.path("byte_bpe_50k.tiktoken"), P.PATTERN))
 
 
-@query("heading_stack")
+@query("heading_stack", """WITH t AS (SELECT doc_id, source, lang, coalesce(text, '') AS x FROM documents),
+p AS (SELECT doc_id, 0 AS k, source AS heading, regexp_replace(x, '^\\s+|\\s+$', '', 'g') AS paragraph FROM t UNION ALL SELECT doc_id, 1, source || ' > ' || lang, 'middle of ' || doc_id FROM t UNION ALL SELECT doc_id, 2, source || ' > Tail end', 'first' || chr(10) || 'second' FROM t UNION ALL SELECT doc_id, 3, source || ' > Tail end', 'last' FROM t)
+SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1)::INTEGER AS pos, heading, paragraph FROM p WHERE paragraph <> ''""")
 def heading_stack(spark, sf_dir):
-    return corpus.paragraphs(corpus.html_to_markdown(tables.spread(table(spark, sf_dir, "pages")), "page_id", "html"), "page_id", "markdown")
+    """Paragraphs with the headings above them: each document below its source, then a section of its language, which a higher one closes."""
+    md = F.concat(F.lit("# "), "source", F.lit("\n"), F.coalesce("text", F.lit("")), F.lit("\n\n### *"), "lang", F.lit("*\n\nmiddle of "), F.col("doc_id").cast("string"), F.lit("\n## `Tail` end  \nfirst\nsecond\n \nlast"))
+    return corpus.paragraphs(table(spark, sf_dir, "documents").select("doc_id", md.alias("markdown")), "doc_id", "markdown")
 
 
 @query("stem_join", "SELECT p.page_id, d.doc_id FROM (SELECT page_id, page_id % 500 AS stem FROM pages) p LEFT JOIN (SELECT doc_id, doc_id % 500 AS stem, row_number() OVER (PARTITION BY doc_id % 500 ORDER BY doc_id DESC) AS n FROM documents) d ON d.stem = p.stem AND n = 1")

@@ -83,6 +83,18 @@ def test_pack():
     assert corpus.pack_paragraphs([], 1, 3, 0) == []
 
 
+def test_chunks_of_byte_pairs():
+    import public_tokenizers as P
+
+    codec = corpus.bpe(P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
+    encode, decode = codec()
+    text = "Some words of a paragraph, <|endoftext|> and é too. " * 40
+    chunks = corpus.pack_paragraphs([(["A"], text), (["B"], "short one"), (["C"], "another")], 20, 60, 10, codec)
+    assert all(n == len(encode(t)) and n <= 80 for _, t, n in chunks)
+    assert chunks[1][1].startswith(decode(encode(chunks[0][1])[-10:])) or len(encode(chunks[0][1])) + 10 > 60
+    assert "another" in chunks[-1][1]
+
+
 def test_markdown():
     page = "<html><head><title>T</title></head><body><nav>menu</nav><h2>H</h2><p>one <b>two</b></p><ul><li>x</li></ul><script>p</script></body></html>"
     assert corpus.markdown(page) == "# T\n\n## H\n\none two\n\n- x\n"
