@@ -27,7 +27,7 @@ def boosted(hits: DataFrame, boosts: DataFrame, facet: str, cap: int = 8, neutra
     Where ``neutral`` holds the order stays as it was.
     """
     flat = F.lit(False) if neutral is None else neutral
-    out = hits.join(F.broadcast(boosts), facet, "left").withColumn("boosted", F.when(flat, F.col("score")).otherwise(cents(F.col("score") * F.coalesce("boost", F.lit(1.0)), DIGITS)))
+    out = hits.join(boosts, facet, "left").withColumn("boosted", F.when(flat, F.col("score")).otherwise(cents(F.col("score") * F.coalesce("boost", F.lit(1.0)), DIGITS)))
     order = [F.when(flat, F.lit(0.0)).otherwise(F.col("boosted")).desc(), F.col("rank")]
     return out.withColumn("new_rank", F.row_number().over(W.partitionBy("query").orderBy(*order))).filter(F.col("new_rank") <= cap)
 

@@ -31,7 +31,7 @@ def eligible(pool: DataFrame, key: str, size: str, least: int, *excluded: DataFr
 def stratified(df: DataFrame, key: str, stratum: str, quotas: DataFrame, total: int, seed: str = "0") -> DataFrame:
     """Up to its quota of rows of each stratum by hash order, topped up from the rest to ``total``; column ``pick`` says which."""
     w = W.partitionBy(stratum).orderBy(hash_order(F.col(key), seed))
-    ranked = df.withColumn("n", F.row_number().over(w)).join(F.broadcast(quotas), stratum, "left")
+    ranked = df.withColumn("n", F.row_number().over(w)).join(quotas, stratum, "left")
     chosen = ranked.filter(F.col("n") <= F.coalesce("quota", F.lit(0))).select(key, stratum, F.lit("quota").alias("pick"))
     rest = df.join(chosen.select(key), key, "left_anti").select(key, stratum).withColumn("h", hash_order(F.col(key), seed))
     n = chosen.agg(F.greatest(F.lit(0), F.lit(total) - F.count(F.lit(1))).alias("short"))
@@ -43,13 +43,18 @@ def stratified(df: DataFrame, key: str, stratum: str, quotas: DataFrame, total:
 def split(df: DataFrame, key: str, fraction: float, seed: str = "0") -> DataFrame:
     """Marks dev rows: those of least hash, max(1, floor(n * fraction)) of them.
 
-    The bound is found among the ``k`` least hashes (a distributed top-k), so no row is moved to be ranked.
+    Rows are counted by the first digits of their hash; only those of the digits that hold the bound are ranked.
     """
-    n = df.count()
-    k = max(1, int(n * fraction))
-    h = hash_order(F.col(key), seed)
-    last = df.select(h.alias("h"), key).orderBy("h", key).limit(k).agg(F.max(F.struct("h", key)).alias("last"))
-    return df.withColumn("_h", F.struct(h.alias("h"), F.col(key))).join(F.broadcast(last), how="cross").withColumn("part", F.when(F.col("_h") <= F.col("last"), "dev").otherwise("train")).drop("_h", "last")
+    keyed = df.withColumn("_h", hash_order(F.col(key), seed)).withColumn("_d", F.substring("_h", 1, 4))
+    counts = keyed.groupBy("_d").agg(F.count(F.lit(1)).alias("c"))  # 65,536 rows at most
+    ends = counts.withColumn("end", F.sum("c").over(W.orderBy("_d")))
+    n = counts.agg(F.greatest(F.lit(1), F.floor(F.sum("c") * fraction)).alias("n"))
+    bound = ends.join(F.broadcast(n), how="cross").filter("end >= n").orderBy("_d").limit(1).select(F.col("_d").alias("_at"), (F.col("n") - (F.col("end") - F.col("c"))).alias("_in"))
+    marked = keyed.join(F.broadcast(bound), how="cross")
+    edge = marked.filter("_d = _at").withColumn("_i", F.row_number().over(W.orderBy("_h", key)))
+    edge = edge.withColumn("part", F.when(F.col("_i") <= F.col("_in"), "dev").otherwise("train")).drop("_i")
+    rest = marked.filter("_d <> _at").withColumn("part", F.when(F.col("_d") < F.col("_at"), "dev").otherwise("train"))
+    return rest.unionByName(edge).drop("_h", "_d", "_at", "_in")
 
 
 def hard_negatives(hits: DataFrame, positives: DataFrame, group_of: DataFrame, pool: int = 50, keep: int = 20) -> DataFrame:

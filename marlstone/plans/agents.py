@@ -7,6 +7,7 @@ from pyspark.sql.window import Window as W
 
 from marlstone.functions import text as X
 from marlstone.operators import agents, evaluate, mining
+from marlstone.operators.order import numbered
 from marlstone.plans.registry import query
 from marlstone.plans.retrieval import BASE, GOLD, bm25_hits, gold_pairs, hits_sql
 from marlstone.sources.tables import table
@@ -202,8 +203,8 @@ def evidence_caps(spark, sf_dir):
 def display_rows(spark, sf_dir):
     """Ranked by the boosted score, else the score, else 0."""
     s = F.coalesce(F.nullif(F.col("n_chars") % 7, F.lit(0)), F.nullif(F.col("n_chars") % 11, F.lit(0)), F.lit(0))
-    w = W.partitionBy("source").orderBy(s.desc(), "doc_id")
-    return table(spark, sf_dir, "documents").select("doc_id", F.row_number().over(w).alias("rank"), F.round(s / 3.0, 3).alias("score"))
+    d = numbered(table(spark, sf_dir, "documents").select("doc_id", "source", s.alias("s")), "source", F.desc("s"), "doc_id")
+    return d.select("doc_id", (F.col("place") + 1).cast("int").alias("rank"), F.round(F.col("s") / 3.0, 3).alias("score"))
 
 
 @query("trace_steps", """WITH c AS (SELECT conv_id, count(*) AS n, count(*) FILTER (role = 'assistant') AS a, count(*) FILTER (role = 'system') AS s FROM conversations GROUP BY conv_id)

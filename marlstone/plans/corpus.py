@@ -8,6 +8,7 @@ from pyspark.sql.window import Window as W
 from marlstone.functions import dates, keys, rules
 from marlstone.functions import text as X
 from marlstone.operators import corpus
+from marlstone.operators.order import numbered
 from marlstone.plans.registry import query
 from marlstone.sources import tables
 from marlstone.sources.tables import table
@@ -127,8 +128,8 @@ def uuid5_ids(spark, sf_dir):
 
 @query("chunk_keys", "WITH r AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS i FROM documents) SELECT doc_id, source || '/stem__' || lpad(i::VARCHAR, 4, '0') AS chunk_id, source || '/stem' AS document FROM r")
 def chunk_keys(spark, sf_dir):
-    i = F.row_number().over(W.partitionBy("source").orderBy("doc_id")) - 1
-    d = table(spark, sf_dir, "documents").select("doc_id", keys.chunk_id(F.col("source"), F.lit("stem"), i).alias("chunk_id"))
+    d = numbered(table(spark, sf_dir, "documents").select("doc_id", "source"), "source", "doc_id")
+    d = d.select("doc_id", keys.chunk_id(F.col("source"), F.lit("stem"), F.col("place")).alias("chunk_id"))
     return d.withColumn("document", keys.document_of_chunk(F.col("chunk_id")))
 
 

@@ -34,11 +34,15 @@ def spread(df: DataFrame, each: int = 1 << 20) -> DataFrame:
     """A scan of too few splits for the session's cores, dealt out to them, a piece of ``each`` bytes at least to each.
 
     Small files of one row group are read by one task, which leaves the other cores idle in what follows.
-    A large scan has more splits than cores and is left alone.
+    A large scan has more splits than cores and is left alone.  What is dealt out is put in order, so that a
+    task that is run again sees its rows as before.
     """
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     n = min(df.sparkSession.sparkContext.defaultParallelism, size // each)
-    return df.repartition(n) if df.rdd.getNumPartitions() < n else df
+    if df.rdd.getNumPartitions() >= n:
+        return df
+    plain = [f.name for f in df.schema.fields if not isinstance(f.dataType, (T.MapType, T.VariantType))]
+    return df.repartition(n).sortWithinPartitions(*(F.col(f"`{c}`") for c in plain))
 
 
 def jsonl(spark: SparkSession, path: str, schema: T.StructType, required: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
