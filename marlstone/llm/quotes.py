@@ -78,7 +78,9 @@ def _replies(said: DataFrame) -> DataFrame:
     own = F.transform(F.filter(F.split("text", "\n"), lambda x: ~x.rlike(MARKS)), lambda x: passage(x))
     own = talked.select("conv", "turn", F.filter(own, lambda x: x != "").alias("lines"))
     short = F.transform(F.filter("lines", lambda x: F.size(F.split(x, " ")) < WIDTH), lambda x: F.md5(F.concat(F.lit("\n"), x)))
-    held = own.select("conv", "turn", F.explode(F.concat(windows(F.split(F.array_join("lines", " "), " ")), short)).alias("hash"))
+    # the words are a column of their own: inside the windows' function they would be split again for each
+    own = own.select("conv", "turn", short.alias("short"), F.split(F.array_join("lines", " "), " ").alias("w"))
+    held = own.select("conv", "turn", F.explode(F.concat(windows(F.col("w")), "short")).alias("hash"))
     holders = held.join(wanted, ["conv", "hash"], "left_semi").select("conv", "hash", "turn").distinct()
     match = _nearest(holders, quoted).groupBy("conv", "turn", "level", "origin").agg(F.count(F.lit(1)).alias("n"))
     return match.groupBy("conv", "turn").agg(F.max(F.struct((-F.col("level")).alias("near"), "n", "origin")).alias("m")).select("conv", "turn", F.col("m.origin").alias("reply_to"))

@@ -600,3 +600,57 @@ def test_quoted_passages_against_sql(spark):
     built = {(r.conv_id, r.part): r.messages for r in quotes.conversations(linked).collect()}
     assert [m.turn for p in range(3) for m in built[60, p]] == list(range(3000)) and [len(built[60, p]) for p in range(3)] == [1000] * 3
     assert all(">" not in (m.text or "") for ms in built.values() for m in ms)
+
+
+# --- all -----------------------------------------------------------------------------------------
+
+
+def odd_documents(spark):
+    """Repeated rows, ids that several texts share, null ids and texts, a very long text, ties, clashing columns."""
+    rnd = random.Random(3)
+    words = lambda n: " ".join(f"w{rnd.randrange(500)}" for _ in range(n))
+    t, long = words(60), words(60_000)
+    rows = [(1, t), (1, t), (1, words(40)), (None, t), (None, None), (2, ""), (3, long), (4, t), (5, long + " end"), (6, "x" * 300_000)]
+    return rows, documents(spark, [x for _, x in rows], [i for i, _ in rows])
+
+
+def odd_operators(spark):
+    ranks = tokens.load_ranks(P.path("byte_bpe_50k.tiktoken"))
+    labels = spark.createDataFrame([(1, 0, 0), (1, 1, 0), (3, 1, 1), (4, 0, 0), (None, 1, 0), (5, None, None)], "doc_id long, quality int, toxic int")
+    return {
+        "lines": lines.line_quality,
+        "fm": lambda d: fm.score(d, fm.train(d, labels)),
+        "recompress": recompress.remove_repeats,
+        "bpe": lambda d: tokens.decode(tokens.encode(d, ranks, P.PATTERN), ranks),
+        "minhash": minhash.near_duplicates,
+        "counts": lambda d: tokens.count_tokens(d, P.path("byte_bpe_50k.json")),
+    }
+
+
+@pytest.mark.parametrize("name", ["lines", "fm", "recompress", "bpe", "minhash", "counts"])
+def test_odd_tables(spark, name):
+    rows, docs = odd_documents(spark)
+    run = odd_operators(spark)[name]
+    got = run(docs.repartition(3)).collect()
+    key = lambda r: str(r.doc_id)
+    assert sorted(map(key, got)) == sorted(str(i) for i, _ in rows)
+    again = run(docs).collect()
+    assert sorted(map(str, again)) == sorted(map(str, got))
+    assert run(docs.limit(0)).count() == 0
+
+
+def test_odd_leaks(spark):
+    rows, docs = odd_documents(spark)
+    bench = spark.createDataFrame([(1, rows[0][1]), (1, rows[0][1]), (1, rows[2][1]), (None, rows[0][1]), (7, None), (8, "")], "item_id long, text string")
+    each = [sorted(map(str, spaced.find_leaks(docs, bench, max_broadcast=limit).collect())) for limit in (spaced.MAX_BROADCAST, 0)]
+    assert each[0] == each[1]
+    assert {(r.doc_id, r.item_id) for r in spaced.find_leaks(docs, bench).collect()} == {(1, 1), (None, 1), (4, 1), (1, None), (None, None), (4, None)}
+
+
+def test_odd_conversations(spark):
+    rows = [(1, 0, "user", "a b c d e f " * 30_000), (1, 0, "user", "a b c d e f " * 30_000), (1, 1, None, "> a b c d e f a b c\nfine"), (1, 1, "user", None), (None, None, None, None)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("hash", F.lit("clash")).withColumn("level", F.lit(1)).withColumn("place", F.lit("x"))
+    got = quotes.link_quotes(df, keep=("role",)).collect()
+    assert len(got) == len(rows)
+    assert sorted((r.turn, r.place, r.reply_to) for r in got if r.conv_id == 1) == [(0, 0, None), (0, 0, None), (1, 1, 0), (1, 2, 0)]
+    assert quotes.conversations(quotes.link_quotes(df, keep=("role",))).count() == 1
