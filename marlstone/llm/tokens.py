@@ -89,7 +89,7 @@ def _requests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for row in B.flat(batches):
         lists = B.unpack(row["payload"])[3]
         yield pa.RecordBatch.from_arrays(
-            [pa.array(list(lists), pa.int32()), pa.array([row["chunk"]] * len(lists)), pa.array([B.pack(x) for x in lists.values()], pa.binary())],
+            [pa.array(list(lists), pa.int32()), pa.array([row["chunk"]] * len(lists), pa.string()), pa.array([B.pack(x) for x in lists.values()], pa.binary())],
             names=["bucket", "chunk", "blob"],
         )
 
