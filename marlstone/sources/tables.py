@@ -24,10 +24,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_root(spark: SparkSession) -> str:
+    """The folder that the session's cluster shares (``spark.checkpoint.dir``).
+
+    A session of one machine that names none, as in tests, takes one below /tmp; on a cluster that is an error.
+    """
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        root = "/tmp/marlstone-checkpoint"
+    return root.rstrip("/")
+
+
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that the session's cluster shares; below /tmp only where none is set, as in tests."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/marlstone-checkpoint"
-    return f"{root.rstrip('/')}/marlstone-{uuid.uuid4().hex}/{name}"
+    """A new path in the shared folder."""
+    return f"{shared_root(spark)}/marlstone-{uuid.uuid4().hex}/{name}"
 
 
 def spread(df: DataFrame, each: int = 1 << 20) -> DataFrame:

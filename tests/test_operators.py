@@ -166,3 +166,15 @@ def test_gold_pairs_are_all_that_contain_an_item(spark, tmp_path):
     spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     got = sorted((r.query, r.doc) for r in retrieval.gold_pairs(spark, str(tmp_path)).collect())
     assert got == sorted((i, d) for i, x in enumerate(items) for d, t in enumerate(texts) if x is not None and t is not None and x in t)
+
+
+def test_shared_folder_is_not_guessed_on_a_cluster():
+    from types import SimpleNamespace as O
+
+    from marlstone.sources.tables import shared_root
+
+    session = lambda master, root=None: O(conf=O(get=lambda k, default=None: root or default), sparkContext=O(master=master))
+    assert shared_root(session("spark://host:7077", "hdfs://x/y/")) == "hdfs://x/y"
+    assert shared_root(session("local[4]")).startswith("/tmp/")
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_root(session("spark://host:7077"))
