@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.sources.tables import spread
+from marlstone.sources.tables import shared_root, spread
 
 #: Words of the contracts: runs of anything but ASCII white space.  bytes.split() follows the same rule.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -47,12 +47,8 @@ def words(text: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder in the place that all executors share; a local one only where none is set, as in tests."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root is None:
-        root = "/tmp/marlstone-checkpoint"
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/marlstone-{uuid.uuid4().hex}"
+    """A new folder in the place that all executors share; a local one only in a session of one machine that names none."""
+    return f"{shared_root(spark)}/marlstone-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, name: str = "t") -> DataFrame:
@@ -60,7 +56,16 @@ def written(df: DataFrame, name: str = "t") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_at = path
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Delete tables that ``written`` made and from which nothing is read any more, not even by a task that is run again."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.written_at).getParent()
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 #: Rows of a few numbers each that are broadcast at most.

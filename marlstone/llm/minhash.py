@@ -240,21 +240,23 @@ def components(edges: DataFrame) -> DataFrame:
 
     Each round is written to the shared folder.  A vertex with many neighbours is reduced by partial minimums;
     what the large star's minimums are joined to is not aggregated in the same stage, so a hot vertex's rows can
-    be split.  The driver sees two numbers a round.
+    be split.  The driver sees two numbers a round; a round's tables go when the next one's are written.
     """
     e = B.written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
     while True:
-        low = B.written(e.groupBy(F.col("u").alias("w")).agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")))
-        size, most = low.agg(F.count(F.lit(1)), F.max("n")).first()
-        low = F.broadcast(low) if size <= B.HELD else low
+        least = B.written(e.groupBy(F.col("u").alias("w")).agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")))
+        size, most = least.agg(F.count(F.lit(1)), F.max("n")).first()
+        low = F.broadcast(least) if size <= B.HELD else least
         if not size or most == 1 and not e.join(low, e["v"] == low["w"], "left_semi").take(1):
+            B.dropped(least)
             break  # nothing hangs on two, and nothing on what hangs
         # large star: what hangs on v moves to the smallest that v has
         moved = B.written(e.join(low, e["v"] == low["w"], "left").select("u", F.coalesce("m", "v").alias("v")).distinct())
         # small star: u and its smaller neighbours move to the smallest of them
         low = moved.groupBy(F.col("u").alias("w")).agg(F.min("v").alias("m"))
         small = moved.join(low, moved["u"] == low["w"]).select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
-        e = B.written(small.unionByName(low.select(F.col("w").alias("u"), F.col("m").alias("v"))).filter("u <> v").distinct())
+        done, e = e, B.written(small.unionByName(low.select(F.col("w").alias("u"), F.col("m").alias("v"))).filter("u <> v").distinct())
+        B.dropped(done, least, moved)
     return e.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
 
 
@@ -288,15 +290,18 @@ def _check(width: int, percent: int):
 
 
 def _confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int, name: str) -> DataFrame:
-    """Of a written table of pairs (a, b), those that are linked, written; a lead of many pairs is dealt into blocks."""
+    """Of a written table of pairs (a, b), which goes, those that are linked, written; a lead of many pairs is dealt into blocks."""
     n = B.buckets(pairs.sparkSession)
-    hot = B.held(B.written(pairs.groupBy("a").agg(F.count(F.lit(1)).alias("many")).filter(F.col("many") > BLOCK), "hot"))
+    leads = B.written(pairs.groupBy("a").agg(F.count(F.lit(1)).alias("many")).filter(F.col("many") > BLOCK), "hot")
+    hot = B.held(leads)
     block = F.pmod(F.xxhash64("b"), F.ceil(F.coalesce("many", F.lit(1)) / BLOCK))
     dealt = pairs.join(hot, "a", "left").select("a", "b", F.xxhash64("a", block).alias("z"))
     member = dealt.join(docs, dealt["b"] == docs["id"]).select("z", "id", F.lit(False).alias("lead"), "text")
     lead = dealt.select("a", "z").distinct().join(docs, F.col("a") == docs["id"]).select("z", "id", F.lit(True).alias("lead"), "text")
     rows = member.unionByName(lead).select(F.pmod("z", F.lit(8 * n)).alias("g"), "z", "id", "lead", "text")
-    return B.written(rows.groupBy("g").applyInArrow(_check(width, percent), "a long, b long"), name)
+    out = B.written(rows.groupBy("g").applyInArrow(_check(width, percent), "a long, b long"), name)
+    B.dropped(pairs, leads)
+    return out
 
 
 def _families(edges: DataFrame, parts: DataFrame, sketch: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
@@ -391,21 +396,25 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     first = met(rep.select("id", "sub"), _table_keys, "pairs")
     large = first.filter(F.col("most") == LARGE)
-    crowd = B.held(B.written(large.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "crowd"))
-    second = met(B.written(rep.select("id", "sub").join(crowd, "id"), "deep"), _deep_keys, "deep_pairs")
+    crowd = B.written(large.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "crowd")
+    deep = B.written(rep.select("id", "sub").join(B.held(crowd), "id"), "deep")
+    second = met(deep, _deep_keys, "deep_pairs")
     pairs = first.unionByName(second).groupBy("a", "b").agg(F.min("kind").alias("kind"))
     pairs = B.written(near(pairs).groupBy("a", "b").agg(F.min("kind").alias("kind")), "near")
     crowded = B.written(second.filter(F.col("most") == LARGE).select("a", "b"), "crowded")
-    ends = pairs.select("a", "b").unionByName(crowded).select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    texts = B.written(texts.join(B.held(B.written(ends, "ends")), "id"), "texts")
+    ends = B.written(pairs.select("a", "b").unionByName(crowded).select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ends")
+    texts = B.written(texts.join(B.held(ends), "id"), "texts")
+    B.dropped(first, crowd, deep, second, ends)
     # (a) stars; (b) other pairs of parts that the stars did not join; (c) families that no key splits
-    parts = B.written(components(_confirmed(B.written(pairs.filter(F.col("kind") != PAIR).select("a", "b")), texts, width, percent, "stars")), "parts")
+    stars = _confirmed(B.written(pairs.filter(F.col("kind") != PAIR).select("a", "b")), texts, width, percent, "stars")
+    parts = B.written(components(stars), "parts")
     label = lambda c: parts.select(F.col("id").alias(c), F.col("component").alias(f"part_{c}"))
     other = pairs.filter(F.col("kind") == PAIR).join(label("a"), "a", "left").join(label("b"), "b", "left").filter(F.coalesce("part_a", "a") != F.coalesce("part_b", "b"))
     more = _confirmed(B.written(other.select("a", "b"), "others"), texts, width, percent, "more")
     if crowded.take(1):
         more = more.unionByName(B.written(_families(crowded, parts, sketch, texts, width, percent), "links"))
     whole = components(more.unionByName(parts.toDF("a", "b"))) if more.take(1) else parts
+    B.dropped(pairs, crowded, texts, stars)
     out = sig.select("id", "digest", "n").join(rep.select("digest", F.col("id").alias("rep")), "digest", "left").join(whole.toDF("rep", "component"), "rep", "left")
     component = F.when(F.col("n") > 0, F.coalesce("component", "rep")).otherwise(F.col("id"))
     out = out.select("id", F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), component).alias("component_id"))

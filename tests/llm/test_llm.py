@@ -411,6 +411,19 @@ def test_components_of_a_long_path(spark):
     assert got == {i: 0 for i in range(n + 1)} | {1000: 1000, 1001: 1000}
 
 
+def test_intermediate_tables_go(spark, tmp_path, monkeypatch):
+    """What near_duplicates wrote on its way is deleted but for what its result reads, which can be read more than once."""
+    monkeypatch.setattr(_base, "shared_root", lambda spark: str(tmp_path))
+    rnd = random.Random(79)
+    base = [[f"w{rnd.randrange(10**6)}" for _ in range(60)] for _ in range(20)]
+    texts = [" ".join(w[: 60 - k]) for w in base for k in range(4)]
+    out = minhash.near_duplicates(documents(spark, texts), width=2)
+    for _ in range(2):
+        assert {r.component_id for r in out.collect()} == set(range(0, 80, 4))
+    left = {p.name for d in tmp_path.iterdir() for p in d.iterdir()}
+    assert {"sig", "rep"} <= left and not {"pairs", "deep", "deep_pairs", "near", "ends", "texts", "stars", "hot", "others", "crowd", "crowded"} & left
+
+
 # --- 8 -------------------------------------------------------------------------------------------
 
 
