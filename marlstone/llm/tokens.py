@@ -227,8 +227,9 @@ class Counting:
             raise ValueError("the shortcut is proven for plain byte-level BPE only; use count_by_library")
         if any(t["single_word"] or t["lstrip"] or t["rstrip"] for t in spec["added_tokens"]):
             raise ValueError("added tokens that take in white space are not supported")
-        pairs = (m if isinstance(m, list) else m.split(" ", 1) for m in model["merges"])
-        self.ranks = {(a, b): i for i, (a, b) in enumerate(pairs)}
+        self.merges = [tuple(m if isinstance(m, list) else m.split(" ", 1)) for m in model["merges"]]
+        self.ranks = {pair: i for i, pair in enumerate(self.merges)}
+        self.vocab, self.model = model["vocab"], None
         chars = _byte_chars()
         self.chars = str.maketrans({chr(b): c for b, c in chars.items()})
         back = {c: bytes([b]) for b, c in chars.items()}
@@ -250,9 +251,17 @@ class Counting:
             if len(self.memo) >= 200_000:
                 self.memo.clear()
             raw = word.encode("utf-8").decode("latin-1").translate(self.chars)
-            n = self.memo[word] = merge_count(list(raw), self.ranks) if len(raw) < 400 else merge_long(raw, self.ranks)
+            n = self.memo[word] = len(self._model().tokenize(raw)) if len(raw) < 400 else merge_long(raw, self.ranks)
         return n
 
+    def _model(self):
+        """The library's merges alone, without its split; made by each worker at its first word that is not whole."""
+        if self.model is None:
+            from tokenizers import models
+
+            self.model = models.BPE(vocab=self.vocab, merges=self.merges, cache_capacity=0)
+        return self.model
+
     def count(self, text: str | None) -> int:
         if not text:
             return 0
