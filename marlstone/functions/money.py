@@ -17,6 +17,12 @@ def cents(x: Column, places: int = 2) -> Column:
     return F.floor(x * k + 0.5) / k
 
 
+def half_away(x: Column, places: int = 6) -> Column:
+    """The double times a power of ten to the nearest whole number, halves away from zero: DuckDB's ``round``, where Spark's goes by the printed decimals."""
+    k = float(10**places)
+    return F.round(x * k) / k
+
+
 def rental_yield(rent: Column, value: Column) -> Column:
     return F.when((rent >= 0) & (value > 0), cents(rent / value * 100))
 
