@@ -9,35 +9,38 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
-def replay(accesses: DataFrame, key: str, time: str, order: str, ttl: int) -> DataFrame:
+def replay(accesses: DataFrame, key: str, time: str, order: str, ttl: int, at: str | None = None) -> DataFrame:
     """(key, order, outcome: miss, hit or evict) for each access.
 
-    One exchange sorts by key and time; rows stream through a fold that holds the last key's expiry, so
-    the accesses of one key are never gathered.
+    One exchange sorts by key and time (by ``at`` if times are coarser than the order of accesses); rows stream
+    through a fold that holds the last key's expiry, so the accesses of one key are never gathered.  An access
+    without a time comes after its key's others and never finds an entry expired.
     """
-    rows = accesses.select(key, time, order).repartition(F.col(key)).sortWithinPartitions(key, time, order)
+    last = lambda c: F.col(c).asc_nulls_last()
+    rows = accesses.repartition(F.col(key)).sortWithinPartitions(key, last(at or time), last(order)).select(key, time, order)
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last, expires = None, 0
-        for f in frames:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, expires = object(), None
+        for b in batches:
             out = []
-            for k, t in zip(f[key], f[time], strict=True):
+            for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 if k != last:
-                    last, expires, what = k, t + ttl, "miss"
-                elif t >= expires:
+                    last, expires, what = k, None if t is None else t + ttl, "miss"
+                elif t is not None and expires is not None and t >= expires:
                     expires, what = t + ttl, "evict"
                 else:
                     what = "hit"
                 out.append(what)
-            yield pd.DataFrame({key: f[key], order: f[order], "outcome": out})
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(out, pa.string())], names=[key, order, "outcome"])
 
     kinds = {c: accesses.schema[c].dataType.simpleString() for c in (key, order)}
-    return rows.mapInPandas(run, f"{key} {kinds[key]}, {order} {kinds[order]}, outcome string")
+    return rows.mapInArrow(run, f"{key} {kinds[key]}, {order} {kinds[order]}, outcome string")
 
 
 def stream(accesses: DataFrame, key: str, time: str, order: str, ttl: int) -> DataFrame:

@@ -36,3 +36,14 @@ def test_faithfulness_needs_every_judge(same):
     values = "(5, 'a', 2.0), (6, 'a', 3.0), (7, 'b', 1.0), (8, 'b', 0.0), (9, 'c', -1.0), (13, 'd', NULL), (14, 'd', 1.0), (15, 'e', NULL)"
     got = same("faithfulness", events=f"SELECT * FROM (VALUES {values}) t(event_id, event_type, value)".replace("(5, ", "(5::BIGINT, ").replace("2.0", "2.0::DOUBLE"))
     assert [r[1] is None for r in got] == [False, True, True, False, True]
+
+
+def test_replay_clock_and_order(same):
+    events = """SELECT event_id::BIGINT AS event_id, ts::TIMESTAMP AS ts, user_id::BIGINT AS user_id, event_type FROM (VALUES
+        (0, '2024-01-01 00:00:00.6', 1, 'a'), (1, '2024-01-02 00:00:00.4', 1, 'a'), (2, '2024-01-02 00:00:00.5', 1, 'a'), (3, '2024-01-02 00:00:00.7', 1, 'a'),
+        (9, '2024-01-01 00:00:00.1', 2, 'a'), (4, '2024-01-01 00:00:00.2', 2, 'a'),
+        (5, NULL, 3, 'a'), (6, '2024-01-01', 3, 'a'), (7, NULL, 4, 'a'), (8, NULL, 4, 'a'),
+        (10, '2024-01-02', NULL, 'a'), (11, '2024-01-01', NULL, 'a'), (12, NULL, NULL, NULL), (13, '2024-01-01', 5, NULL), (14, '2024-01-01', 5, '')) t(event_id, ts, user_id, event_type)"""
+    got = dict(same("ttl_cache_replay", events=events))
+    assert [got[i] for i in "0123"] == ["miss", "hit", "hit", "evict"] and [got["9"], got["4"]] == ["miss", "hit"]
+    assert "10" not in got and len(got) == 14
