@@ -123,9 +123,9 @@ HYBRID = f"{BASE}, {NEAREST}, {hits_sql('script', 50, 's')}, {FUSED.replace('1.0
 
 
 def encoded_hits(spark, sf_dir, k):
-    """Vector hits of benchmark items among documents, both encoded alike."""
-    vectors = lambda name, key: encode.embed(spread(table(spark, sf_dir, name)).select(F.col(key).alias("id"), "text"), "id", "text")
-    return dense.search(vectors("benchmark", "item_id"), vectors("documents", "doc_id"), "id", "embedding", k)
+    """Vector hits of benchmark items among documents, both encoded alike; by whole counts, so that ties are ties."""
+    vectors = lambda name, key: encode.embed(spread(table(spark, sf_dir, name)).select(F.col(key).alias("id"), "text"), "id", "text", encode.counted)
+    return dense.search(vectors("benchmark", "item_id"), vectors("documents", "doc_id"), "id", "embedding", k, encode.cosine)
 
 
 def hybrid_hits(spark, sf_dir):

@@ -5,6 +5,7 @@ import math
 import duckdb
 import pytest
 
+from marlstone.operators import encode
 from marlstone.plans import agents, corpus, inputs, registry, retrieval, series, small  # noqa: F401
 
 
@@ -47,3 +48,25 @@ def test_replay_clock_and_order(same):
     got = dict(same("ttl_cache_replay", events=events))
     assert [got[i] for i in "0123"] == ["miss", "hit", "hit", "evict"] and [got["9"], got["4"]] == ["miss", "hit"]
     assert "10" not in got and len(got) == 14
+
+
+#: A word for each place and sign of the encoder.
+WORD = {encode._place(w): w for w in (f"w{i}" for i in range(4000))}
+
+
+def text(*counts):
+    """A text with these (place, count) in the encoder's vector."""
+    return " ".join(" ".join([WORD[p, 1 if n > 0 else -1]] * abs(n)) for p, n in counts)
+
+
+def encoded(items, docs):
+    table = lambda key, texts: "SELECT * FROM (VALUES " + ", ".join(f"({i}::BIGINT, '{t}', 'en')" for i, t in texts.items()) + f") t({key}, text, lang)"
+    return {"benchmark": table("item_id", items), "documents": table("doc_id", docs)}
+
+
+def test_encoded_ties_and_texts_that_cancel(same):
+    # lengths 16 and 8, product 1: the cosine is 0.0078125, halfway between two scores
+    item, doc = text((0, 1), (1, 15), (2, 5), (3, 2), (4, 1)), text((0, 1), (5, 7), (6, 3), (7, 2), (8, 1))
+    tables = encoded({1: item, 2: text((0, 1), (0, -1)), 3: "", 4: text((5, 1))}, {1: doc, 2: text((0, 1), (0, -1)), 3: "", 4: text((1, 1)), 5: text((0, -1), (5, 2))})
+    got = {(r[0], r[1]): r[2:] for r in same("encoded_topk", **tables)}
+    assert got["1", "1"][0] == "0.007813" and got["1", "2"] == ["nan", "1"] and got["4", "2"][0] == "0.0"
