@@ -499,6 +499,19 @@ def test_wrapper_alone_finds_the_article(spark):
     assert known.field == "html>body>div.c0" and "'Follow us'" in str(known) and "?" in str(known) and ")+" in str(known)
 
 
+def test_aligned_slots_decide_the_title(spark):
+    """Teasers' headings are on every page too and are longer together; only the alignment tells that the title is one slot."""
+    rnd, site = random.Random(38), []
+    word = lambda n: " ".join(rnd.choice("abcdefghij") * rnd.randint(2, 9) for _ in range(n))
+    for i in range(24):
+        title, body = word(4), [word(40) for _ in range(3 + i % 4)]
+        teasers = "".join(f"<h3>{word(9)}</h3><p>{word(3)}</p>" for _ in range(2 + i % 3))
+        site.append((i, f"http://t/{i}", f"<html><body><div class=x><div class=a><h2>{title}</h2>{''.join(f'<p>{b}</p>' for b in body)}</div><div class=b>{teasers}</div></div></body></html>", "\n".join([title, *body])))
+    pages = spark.createDataFrame([r[:3] for r in site], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in wrapper.main_text(pages).collect()}
+    assert got == {r[0]: r[3] for r in site}
+
+
 def test_wrappers_joined_by_host(spark, monkeypatch):
     rnd = random.Random(18)
     site = soup_site("soup", 12, rnd) + soup_site("two", 12, rnd)
