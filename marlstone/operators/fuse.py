@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from marlstone.functions.money import cents
+from marlstone.functions.money import cents, half_away
 
 RRF_K, SHORTLIST, DIGITS = 60, 50, 6
 
@@ -16,7 +16,7 @@ def reciprocal_rank(dense: DataFrame, sparse: DataFrame, k: int = 10, shortlist:
     d = dense.filter(F.col("rank") <= shortlist).filter("doc IS NOT NULL").select("query", "doc", F.col("rank").alias("dense_rank"))
     s = sparse.filter(F.col("rank") <= shortlist).filter("doc IS NOT NULL").select("query", "doc", F.col("rank").alias("sparse_rank"))
     part = lambda c: F.coalesce(1.0 / (RRF_K + F.col(c)), F.lit(0.0))
-    both = d.join(s, ["query", "doc"], "full").withColumn("score", F.round(part("dense_rank") + part("sparse_rank"), 9))
+    both = d.join(s, ["query", "doc"], "full").withColumn("score", half_away(part("dense_rank") + part("sparse_rank"), 9))
     w = W.partitionBy("query").orderBy(F.col("score").desc(), F.col("dense_rank").asc_nulls_last(), F.col("sparse_rank").asc_nulls_last())
     return both.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 

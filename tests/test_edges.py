@@ -60,8 +60,8 @@ def text(*counts):
 
 
 def encoded(items, docs):
-    table = lambda key, texts: "SELECT * FROM (VALUES " + ", ".join(f"({i}::BIGINT, '{t}', 'en')" for i, t in texts.items()) + f") t({key}, text, lang)"
-    return {"benchmark": table("item_id", items), "documents": table("doc_id", docs)}
+    table = lambda key, texts: "SELECT * FROM (VALUES " + ", ".join(f"({i}::BIGINT, '{t}')" for i, t in texts.items()) + f") t({key}, text)"
+    return {"benchmark": table("item_id", items), "documents": f"SELECT *, 'en' AS lang FROM ({table('doc_id', docs)})"}
 
 
 def test_encoded_ties_and_texts_that_cancel(same):
@@ -77,3 +77,9 @@ def test_embedding_of_texts_that_cancel(same):
     parts = enumerate((-111, -264, -191, 189, -148, 481, 46))
     got = same("embedding_job", **encoded({1: ""}, {1: text((0, 1), (0, -1)), 2: "", 3: text((0, 1), (1, 2)), 4: text(*parts)}))
     assert [r[1] for r in got] == ["nan", "0.0", "1.34164", "0.00313"]
+
+
+def test_fusion_of_texts_that_cancel(same):
+    tables = encoded({1: text((0, 1), (1, 2)), 2: text((2, 3))}, {i: text((0, 1), (i % 5, 1), (5, i)) for i in range(1, 12)} | {12: text((0, 1), (0, -1))})
+    got = {(r[0], r[1]): r[2:] for r in same("rrf_fusion", **tables)}
+    assert got["1", "12"][1] == "1"
