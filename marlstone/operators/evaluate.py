@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from marlstone.functions.money import half_away
+
 DIGITS = 6
 #: Added to means before they are rounded, so that those halfway between two digits go up in every engine.
 TIE = 1e-10
@@ -28,9 +30,9 @@ def per_query(hits: DataFrame, gold: DataFrame, queries: DataFrame, ks: tuple[in
     return out.select(
         "query",
         F.coalesce("n_gold", F.lit(0)).cast("long").alias("n_gold"),
-        *(F.round(zero(F.col(f"hits_{k}") / F.col("n_gold")), DIGITS).alias(f"recall_{k}") for k in ks),
-        F.round(zero(1 / F.col("first")), DIGITS).alias("mrr_10"),
-        F.round(zero(F.col("dcg") / ideal), DIGITS).alias("ndcg_10"),
+        *(half_away(zero(F.col(f"hits_{k}") / F.col("n_gold")), DIGITS).alias(f"recall_{k}") for k in ks),
+        half_away(zero(1 / F.col("first")), DIGITS).alias("mrr_10"),
+        half_away(zero(F.col("dcg") / ideal), DIGITS).alias("ndcg_10"),
     )
 
 

@@ -83,3 +83,9 @@ def test_fusion_of_texts_that_cancel(same):
     tables = encoded({1: text((0, 1), (1, 2)), 2: text((2, 3))}, {i: text((0, 1), (i % 5, 1), (5, i)) for i in range(1, 12)} | {12: text((0, 1), (0, -1))})
     got = {(r[0], r[1]): r[2:] for r in same("rrf_fusion", **tables)}
     assert got["1", "12"][1] == "1"
+
+
+def test_metrics_with_texts_that_cancel(same):
+    item = f"{WORD[0, 1]} alpha beta gamma"
+    got = same("eval_recall_mrr_ndcg", **encoded({1: item}, {1: f"x {item} y", 2: text((0, 1), (0, -1)), 3: "other words"}))
+    assert got == [["1", "1", "1.0", "1.0", "0.5", "0.63093"]]
